@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, sharding, simhash
-from .common import table
+from . import decontaminate, packing, quality, sharding, simhash
+from .common import table, tokenizer_path
 
 CONTAMINATION_COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -17,6 +17,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(spark, docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_sharding": op10_sharding,
