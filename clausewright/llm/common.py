@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Only used where the session names no shared folder (tests, local mode).
@@ -69,3 +72,42 @@ def runs(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = RUN
                 start, held = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, worst: Callable, where: Column | None = None) -> list[Row]:
+    """About `rows` labelled texts (text, label) of 1 to `chars` characters for a fit on the driver.
+
+    Rows are chosen by a hash of doc_id, under a threshold that the number of labels sets, so no more than
+    about that many reach the driver at any size. Null keys and labels are left out; a key labelled more
+    than once counts once, with the label that `worst` picks. where: a condition on doc_id.
+    """
+    marks = pick(labels, doc_id="doc_id", label=label).where("label is not null and doc_id is not null")
+    marks = (marks if where is None else marks.where(where)).groupBy("doc_id").agg(worst("label").alias("label"))
+    share = min(1.0, rows / max(1, marks.count()))
+    chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts = pick(docs, doc_id="doc_id", text="text").where(F.length("text").between(1, chars))
+    found = texts.join(chosen, "doc_id").select("doc_id", "text", "label").collect()
+    return sorted(found, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
+
+
+class Words:
+    """Numbers for the words of a run of texts: a word keeps its number and its hash within the run."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.hashes = np.zeros(0, np.uint32)
+
+    def of(self, text: str) -> np.ndarray:
+        return self.numbered(text.encode().split())
+
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        number, known = self.numbers, len(self.numbers)
+        ids = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
+        if len(number) > len(self.hashes):
+            grown = np.zeros(max(1024, 2 * len(number)), np.uint32)
+            grown[:known] = self.hashes[:known]
+            self.hashes = grown
+        if len(number) > known:
+            fresh = np.fromiter(map(zlib.crc32, islice(reversed(number), len(number) - known)), np.uint32, len(number) - known)
+            self.hashes[known : len(number)] = fresh[::-1]
+        return ids

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, runs
+from .common import Words, labelled_sample, pick, runs
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -20,8 +18,8 @@ MAX_REPEAT_PERCENT = 50
 REJECT_AT = 0.5
 #: Hash buckets of word n-grams (1 and 2 words) and of character n-grams (1 and 3 bytes), each.
 BUCKETS = 1 << 16
-#: The classifier is fitted on at most so many labelled rows of at most so many characters, taken in the
-#: order of a hash of doc_id. Only the fit is bounded: every row of the input is scored, whole.
+#: The classifier is fitted on about so many labelled rows of at most so many characters, those with the
+#: lowest hashes of doc_id. Only the fit is bounded: every row of the input is scored, whole.
 FIT_ROWS = 6000
 FIT_CHARS = 30_000
 EPOCHS = 12
@@ -37,26 +35,6 @@ _MARKS = "#*$%&|<>"
 _MIX = np.uint32(2654435761)
 
 
-class Words:
-    """Numbers for the words of a run of texts: a word keeps its number and its hash within the run."""
-
-    def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.hashes = np.zeros(0, np.uint32)
-
-    def of(self, text: str) -> np.ndarray:
-        number, known = self.numbers, len(self.numbers)
-        ids = np.array([number.setdefault(w, len(number)) for w in text.encode().split()], dtype=np.int64)
-        if len(number) > len(self.hashes):
-            grown = np.zeros(max(1024, 2 * len(number)), np.uint32)
-            grown[:known] = self.hashes[:known]
-            self.hashes = grown
-        if len(number) > known:
-            fresh = np.fromiter(map(zlib.crc32, islice(reversed(number), len(number) - known)), np.uint32, len(number) - known)
-            self.hashes[known : len(number)] = fresh[::-1]
-        return ids
-
-
 def statistics(text: str | None, words: Words | None = None, ids: np.ndarray | None = None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one whole text.
 
@@ -155,11 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quali
     Rows with a null label or key are left out; where one class is missing the model keeps everything.
     A key labelled several times counts once, as bad if any label says so. Equal texts count once.
     """
-    marks = pick(labels, doc_id="doc_id", quality="quality").where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = pick(docs, doc_id="doc_id", text="text").where(F.length("text").between(1, FIT_CHARS)).join(marks, "doc_id")
-    sample = rows.select(F.xxhash64("doc_id").alias("h"), "text", "quality").orderBy("h", "text").limit(fit_rows).collect()
+    sample = labelled_sample(docs, labels, "quality", fit_rows, FIT_CHARS, worst=F.min)
     unique = list({r.text: r for r in sample}.values())
-    y = np.array([r.quality == 0 for r in unique], dtype=np.int64)
+    y = np.array([r.label == 0 for r in unique], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros(4 * BUCKETS, np.float32), -10.0, 1.0, 0.0)
     x = [_sparse(ngrams(r.text)) for r in unique]

@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, sharding, simhash
-from .common import table, tokenizer_path
+from . import chat, decontaminate, packing, quality, sharding, simhash, toxicity
+from .common import pick, table, tokenizer_path
 
 CONTAMINATION_COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(spark, docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.assess(spark, docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trap = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    turns = pick(table(spark, sf_dir, "conversations"), conv_id="conv_id", turn="turn", role="role", text="text")
+    return chat.digests(chat.render(chat.turn_events(turns.unionByName(extra))))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -35,7 +47,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op4_chat": op4_chat,
     "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
@@ -63,5 +77,19 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS i
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op4_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, length(regexp_replace(role, '(<|\[)(\\*)(/?s>|/?INST\]|</?SYS>>)', '\1\2\\\3', 'g')) AS role_chars,
+         length(regexp_replace(text, '(<|\[)(\\*)(/?s>|/?INST\]|</?SYS>>)', '\1\2\\\3', 'g')) AS text_chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(role_chars + text_chars + 22) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
 """,
 }
