@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, quality, sharding, simhash, toxicity
+from . import chat, decontaminate, lm_score, packing, pii, quality, sharding, simhash, token_counts, toxicity
 from .common import pick, table, tokenizer_path
 
 CONTAMINATION_COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -22,6 +23,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(spark, docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
@@ -29,6 +34,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.turn_events(turns.unionByName(extra))))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_documents(spark, table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("score", "per_word")])
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -54,7 +64,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_token_counts": op3_token_counts,
     "op4_chat": op4_chat,
+    "op5_lm_score": op5_lm_score,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
@@ -97,5 +109,21 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(role_chars + text_chars + 22) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op5_lm_score": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+u AS (SELECT word, count(*) AS n, sum(count(*)) OVER () AS total FROM p GROUP BY word),
+v AS (SELECT CASE WHEN n * 262144 >= total THEN word ELSE '' END AS k, sum(n) AS n, any_value(total) AS total FROM u GROUP BY 1),
+q AS (SELECT doc_id, i, CASE WHEN n * 262144 >= total THEN word ELSE '' END AS k FROM p JOIN u USING (word)),
+b AS (SELECT doc_id, i, k, lag(k) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM q),
+c AS (SELECT prev, k, count(*) AS n FROM b WHERE prev IS NOT NULL GROUP BY prev, k HAVING count(*) >= 2),
+s AS (
+  SELECT b.doc_id, sum(CASE WHEN c.n IS NOT NULL THEN ln(c.n) - ln(pv.n) ELSE ln(0.4) + ln(v.n) - ln(v.total) END) AS score
+  FROM b JOIN v USING (k) LEFT JOIN c ON c.prev = b.prev AND c.k = b.k LEFT JOIN v pv ON pv.k = b.prev GROUP BY b.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(coalesce(score, 0), 6) AS score, round(score / len(w.w), 6) AS per_word
+FROM w LEFT JOIN s USING (doc_id)
 """,
 }
