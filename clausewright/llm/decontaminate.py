@@ -142,3 +142,23 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
             waiting.unpersist()
         waiting = spark.sparkContext.broadcast(block)
     return rows.mapInArrow(_search(waiting, True), SCHEMA)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The documents that no benchmark window occurs in, with all their columns, decided where they lie, one
+    pass for each block of patterns."""
+    at = docs.columns.index("text")
+
+    def choose(tables):
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = (words(t) for t in batch.column(at).to_pylist())
+                yield batch.filter(pa.array([not any(next(m.find(w), None) for m in tables.value) for w in texts], pa.bool_()))
+
+        return kept
+
+    rows, first = docs, True
+    for block in _blocks(pick(benchmark, item_id="item_id", text="text"), window, block_windows):
+        rows = rows if first else materialize(rows, "decontaminate")
+        rows, first = rows.mapInArrow(choose(spark.sparkContext.broadcast(block)), docs.schema), False
+    return rows

@@ -37,14 +37,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, mark (a hash of the text) and fp (the fingerprint as a signed long) of every row."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs(batches):
             found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(found.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(compute, "doc_id long, fp long")
+    rows = pick(docs, doc_id="doc_id", text="text").select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return rows.mapInArrow(compute, "doc_id long, mark long, fp long")
 
 
 def _masks(bits: int) -> list[int]:
@@ -165,6 +166,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         seen = state
 
 
+def _grouped(docs: DataFrame, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints (doc_id, mark, fp), and fp, component_id, component_mark of each distinct one:
+    the least doc_id of its component, nulls last, and of rows that share it the least mark."""
+    rows = materialize(fingerprints(docs, shingle), "simhash")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    least = rows.groupBy("fp").agg(F.min(first).alias("first"))
+    roots = components(links(least.select("fp"), bits), "simhash")
+    linked = least.join(roots, least.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    linked = materialize(linked, "simhash")
+    top = linked.groupBy("root").agg(F.min("first").alias("top"))
+    return rows, linked.join(top, "root").select("fp", F.col("top.doc_id").alias("component_id"), F.col("top.mark").alias("component_mark"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """A row per document: doc_id, fingerprint (hex), component_id (the least doc_id that it reaches).
 
@@ -175,11 +189,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     than a shingle hash as a whole. Repeated doc_ids get a row each; a null doc_id is never the least of
     its component unless all are null. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, shingle), "simhash")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(least.select("fp"), bits), "simhash")
-    linked = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = materialize(linked, "simhash")
-    top = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(top, "root").select("fp", "component_id")
+    rows, named = _grouped(docs, shingle, bits)
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One document of each component, with all its columns: the one with the least doc_id, nulls last.
+
+    A row is found again by doc_id and text, so rows that share a doc_id but not the text are judged each
+    by itself, and of rows that repeat both one stays.
+    """
+    rows, named = _grouped(docs, shingle, bits)
+    kept = named.select(F.col("component_id").alias("__id"), F.col("component_mark").alias("__mark")).distinct()
+    marked = docs.withColumn("__text_mark", F.xxhash64(F.col("`text`")))
+    same = F.col("`doc_id`").eqNullSafe(F.col("__id")) & (F.col("__text_mark") == F.col("__mark"))
+    chosen = marked.join(kept.hint("shuffle_hash"), same, "left_semi")
+    if rows.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
+        chosen = chosen.dropDuplicates(["doc_id", "__text_mark"])
+    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
