@@ -24,30 +24,34 @@ SURNAMES = ("Keller", "Novak", "Lindgren", "Moreau", "Castillo", "Fischer", "Hug
 SURNAMES_CYRILLIC = ("Орлов", "Волков", "Соколов", "Лебедев", "Козлов", "Морозов", "Павлов", "Егоров")
 
 _GIVEN = FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC
-_LABEL = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
+_LABEL = r"(?=[PpTtSsAa])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
 #: The kinds of entity, in the order in which they are looked for.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "secret": _LABEL + r"[A-Za-z0-9_\-./+]{6,}",
-    "aws": r"\bAKIA[0-9A-Z]{16}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "given": r"\b(?:" + "|".join(_GIVEN) + r")(?= \p{Lu}\p{L}+)",
-    "surname": r"(?<=\b(?:" + "|".join(TITLES) + r")\.? |\b(?:" + "|".join(_GIVEN) + r") )\p{Lu}\p{L}[\p{L}'-]{0,40}",
+    "aws": r"AKIA[0-9A-Z]{16}\b",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip": r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "given": r"(?=\p{Lu})(?:" + "|".join(_GIVEN) + r")(?= \p{Lu}\p{L}+)",
+    "surname": r"(?=\p{Lu}\p{L})(?<=\b(?:" + "|".join(TITLES) + r")\.? |\b(?:" + "|".join(_GIVEN) + r") )\p{Lu}\p{L}[\p{L}'-]{0,40}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Texts without any of these hold no entity; most texts end here.
-_HINT = r"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)|" + "|".join(TITLES + _GIVEN)
+#: An entity begins where a word does, or its digits after letters. All else is passed over quickly.
+_BEGIN = r"(?:(?<![\p{L}\p{N}._%+@])|(?<![0-9.+(])(?=[0-9]))"
+ANY = _BEGIN + "(?:" + "|".join(PATTERNS.values()) + ")"
+#: Texts with neither hold no entity, and most texts end here. The class before the names lets the search
+#: stop at capital letters alone.
+_WORDS = TITLES + _GIVEN
+_MARKS = "[0-9@=:]"
+_NAMES = "(?=[" + "".join(sorted({w[0] for w in _WORDS})) + "])(?:" + "|".join(_WORDS) + ")"
 
 
 def _kind(m: Column) -> Column:
     """The kind of a match, by the pattern that the whole of it fits; context has been checked already."""
     whole = dict(PATTERNS, given="(?:" + "|".join(_GIVEN) + ")", surname=r"\p{Lu}.*")
-    plain = {k: p.replace("(?<![0-9.])", "").replace("(?<![0-9-])", "").replace("(?<![0-9])", "") for k, p in whole.items()}
-    tests = [(k, m.rlike(f"^(?:{p})$")) for k, p in plain.items()]
+    tests = [(k, m.rlike(f"^(?:{p})$")) for k, p in whole.items()]
     return reduce(lambda rest, t: F.when(t[1], F.lit(t[0])).otherwise(rest), reversed(tests), F.lit("surname"))
 
 
@@ -192,12 +196,12 @@ def _poured(kind: Column, label: Column, core: Column, surrogate: Column) -> Col
 def _found(text: Column) -> Column:
     """The matches of a text, in order."""
     none = F.array().cast("array<string>")
-    return F.coalesce(F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), none)
+    return F.coalesce(F.when(text.rlike(_MARKS) | text.rlike(_NAMES), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), none)
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """doc_id, kind, canon of every mention."""
-    rows = pick(docs, doc_id="doc_id", text="text").where(F.col("text").rlike(_HINT))
+    rows = pick(docs, doc_id="doc_id", text="text")
     return rows.select("doc_id", F.explode(_read(_found(F.col("text")))).alias("x")).select("doc_id", "x.kind", "x.canon")
 
 
