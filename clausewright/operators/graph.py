@@ -40,17 +40,17 @@ def _cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def closure(pairs: DataFrame) -> DataFrame:
-    """All (from_entity, to_entity) that a chain of pairs joins; cycles end. Semi-naive: each round only
-    extends what the round before found."""
+    """All (from_entity, to_entity) that a chain of pairs joins; cycles end. Each round joins what is known
+    with itself, so chains of any length close in as many rounds as their length has binary digits."""
     known = _cut(pairs.select("from_entity", "to_entity").distinct(), "closure")
-    fresh = known
-    step = known.select(c("from_entity").alias("to_entity"), c("to_entity").alias("next"))
+    size = known.count()
     while True:
-        found = fresh.join(step, "to_entity").select("from_entity", c("next").alias("to_entity")).distinct()
-        fresh = _cut(found.join(known, ["from_entity", "to_entity"], "left_anti"), "closure")
-        if not fresh.limit(1).count():
+        further = known.select(c("from_entity").alias("to_entity"), c("to_entity").alias("next"))
+        longer = known.join(further, "to_entity").select("from_entity", c("next").alias("to_entity"))
+        known = _cut(known.union(longer).distinct(), "closure")
+        before, size = size, known.count()
+        if size == before:
             return known
-        known = known.unionByName(fresh)
 
 
 def ultimate_controllers(control: DataFrame, reach: DataFrame) -> DataFrame:
@@ -96,17 +96,13 @@ def spread_dependence(groups: DataFrame, edges: DataFrame, reach: DataFrame) ->
     one_way = dependent.select(c("from_entity").alias("joins"), c("to_entity").alias("member"))
     pairs = one_way.union(dependent.where("bidirectional").select(c("to_entity").alias("joins"), c("from_entity").alias("member"))).where("joins <> member").distinct()
     alone = pairs.select("member").distinct().join(groups.select("member"), "member", "left_anti").select(c("member").alias("root"), "member")
-    known = _cut(groups.select("root", "member").union(alone).distinct(), "dependence")
+    known = _cut(groups.select("root", "member").union(alone).distinct(), "groups")
     below = reach.select(c("from_entity").alias("joins"), c("to_entity").alias("also"))
-    pulled = pairs.union(pairs.join(below, "joins").select(c("also").alias("joins"), "member")).distinct()
-    pulled = _cut(pulled, "dependence")
-    fresh = known
-    while True:
-        found = fresh.join(pulled, "member").select("root", c("joins").alias("member")).distinct()
-        fresh = _cut(found.join(known, ["root", "member"], "left_anti"), "dependence")
-        if not fresh.limit(1).count():
-            return known
-        known = known.unionByName(fresh)
+    pulled = pairs.union(pairs.join(below, "joins").select(c("also").alias("joins"), "member"))
+    # Whoever joins brings its own dependents along: what a member pulls in, in the end, is a closure.
+    ends = closure(pulled.select(c("member").alias("from_entity"), c("joins").alias("to_entity")))
+    reached = known.join(ends, c("member") == c("from_entity")).select("root", c("to_entity").alias("member"))
+    return known.union(reached).distinct()
 
 
 def numbered_groups(groups: DataFrame) -> DataFrame:
@@ -127,8 +123,8 @@ def connected_groups(edges: DataFrame, entities: DataFrame, include_flagged: boo
     live = usable(edges, include_flagged)
     control = control_edges(live, entities)
     reach = closure(control)
-    merged = merge_common_management(ultimate_controllers(control, reach), live)
-    return numbered_groups(spread_dependence(merged, live, reach))
+    merged = merge_common_management(_cut(ultimate_controllers(control, reach), "controllers"), live)
+    return numbered_groups(_cut(spread_dependence(merged, live, reach), "groups"))
 
 
 def aggregate_exposures(exposures: DataFrame, entities: DataFrame, limit_or_outstanding: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 """The engine's named queries: importing this package registers them."""
 
-from . import relational  # noqa: F401
+from . import analytics, relational  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
