@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -36,11 +36,28 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     Columns are found by position, so an extra column whose name differs from a wanted one only in
     case, or that equals the name of a result column, does no harm.
     """
-    at = {}
+    rows, at = flat(df)
+    return rows.select(*[F.col(at[old]).alias(new) for new, old in wanted.items()])
+
+
+def flat(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under unique column names, and the new name of each old one (the first, where one repeats)."""
+    at: dict[str, str] = {}
     for i, name in enumerate(df.columns):
-        at.setdefault(name, i)
-    flat = df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
-    return flat.select(*[F.col(f"_in{at[old]}").alias(new) for new, old in wanted.items()])
+        at.setdefault(name, f"_in{i}")
+    return df.toDF(*[f"_in{i}" for i in range(len(df.columns))]), at
+
+
+def keep_rows(docs: DataFrame, text: str, choose: Callable[[list[str | None]], Iterable[bool]]) -> DataFrame:
+    """The rows whose text is chosen, with all their columns, decided where they lie."""
+    rows, at = flat(docs)
+    column = rows.columns.index(at[text])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(list(choose(batch.column(column).to_pylist())), pa.bool_()))
+
+    return rows.mapInArrow(kept, rows.schema).toDF(*docs.columns)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import materialize, pick, runs
+from .common import flat, keep_rows, materialize, pick, runs
 
 WINDOW = 10
 #: Windows in one block of patterns. A block is what a worker holds at once; a benchmark of any size is
@@ -147,18 +147,13 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents that no benchmark window occurs in, with all their columns, decided where they lie, one
     pass for each block of patterns."""
-    at = docs.columns.index("text")
 
     def choose(tables):
-        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = (words(t) for t in batch.column(at).to_pylist())
-                yield batch.filter(pa.array([not any(next(m.find(w), None) for m in tables.value) for w in texts], pa.bool_()))
+        return lambda texts: [not any(next(m.find(w), None) for m in tables.value) for w in map(words, texts)]
 
-        return kept
-
-    rows, first = docs, True
+    rows, first = flat(docs)[0], True
+    text = flat(docs)[1]["text"]
     for block in _blocks(pick(benchmark, item_id="item_id", text="text"), window, block_windows):
         rows = rows if first else materialize(rows, "decontaminate")
-        rows, first = rows.mapInArrow(choose(spark.sparkContext.broadcast(block)), docs.schema), False
-    return rows
+        rows, first = keep_rows(rows, text, choose(spark.sparkContext.broadcast(block))), False
+    return rows.toDF(*docs.columns)

@@ -185,7 +185,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, seed: int = 3) ->
     lengths = np.array(sorted(x for x in histogram if x < capacity), dtype=np.int64)
     counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.float64)
     x: dict[Pattern, float] = defaultdict(float)
-    weight = np.ones(len(lengths))
+    weight = 1 + lengths / capacity  # long pieces are the hard ones to place
     if histogram.get(capacity):
         x[((capacity, 1),)] = float(histogram[capacity])
     unit = max(1.0, counts.sum() / (GROUPS * WIDTH))

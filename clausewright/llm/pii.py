@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, pick
+from .common import flat, materialize, pick
 
 KEY = "clausewright"
 #: Up to so many entities in conflict their table is broadcast; beyond, it is joined by a shuffle.
@@ -239,16 +239,17 @@ def replace_pii(spark: SparkSession, docs: DataFrame, key: str = KEY) -> DataFra
     empty one empty, both with 0 entities. Repeated rows are replaced alike. An empty table gives an empty
     result. A column n_entities that is there already is replaced.
     """
-    text = F.col("`text`")
+    plain, at = flat(docs)
+    text, doc_id = F.col(at["text"]), F.col(at["doc_id"])
     mentions = entities(docs)
     taken = conflicts(materialize(mentions.select("kind", "canon").distinct(), "entities"), key)
     n_taken = taken.count()
-    rows = docs.withColumn("__m", _found(text))
+    rows = plain.withColumn("__m", _found(text))
     attempt = lambda kind, canon: F.lit(0)
     if n_taken:
         per_doc = mentions.join(F.broadcast(taken) if n_taken <= BROADCAST_ROWS else taken, ["kind", "canon"])
         per_doc = per_doc.groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "canon"), "attempt"))).alias("__taken"))
-        rows = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+        rows = rows.join(per_doc, doc_id.eqNullSafe(F.col("__id")), "left")
         attempt = lambda kind, canon: F.coalesce(F.try_element_at("__taken", F.concat_ws("\x1f", kind, canon)), F.lit(0))
 
     keep = lambda x, *names: [x[n].alias(n) for n in names]
@@ -261,5 +262,7 @@ def replace_pii(spark: SparkSession, docs: DataFrame, key: str = KEY) -> DataFra
     )
     new = reduce(F.transform, steps, _read(F.col("__m")))
     parts = F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    done = rows.withColumn("text", F.when(F.size("__m") > 0, F.array_join(parts, "")).otherwise(text)).withColumn("n_entities", F.size("__m").cast("long"))
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_entities"], "n_entities")
+    kept = [(name, F.col(f"_in{i}")) for i, name in enumerate(docs.columns) if name != "n_entities"]
+    done = F.when(F.size("__m") > 0, F.array_join(parts, "")).otherwise(text)
+    columns = [done if at[name] == at["text"] else column for name, column in kept]
+    return rows.select(*columns, F.size("__m").cast("long")).toDF(*[name for name, _ in kept], "n_entities")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, labelled_sample, pick, runs
+from .common import Words, keep_rows, labelled_sample, pick, runs
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -197,10 +197,5 @@ def assess(spark: SparkSession, docs: DataFrame, model: QualityModel, reject_at:
 
 def keep_good(spark: SparkSession, docs: DataFrame, model: QualityModel, reject_at: float = REJECT_AT) -> DataFrame:
     """The documents that are kept, with all their columns, decided where they lie."""
-    shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_judge(batch.column(at).to_pylist(), shared.value, reject_at)[2]))
-
-    return docs.mapInArrow(choose, docs.schema)
+    shared = spark.sparkContext.broadcast(model)
+    return keep_rows(docs, "text", lambda texts: _judge(texts, shared.value, reject_at)[2].tolist())

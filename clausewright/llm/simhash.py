@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, runs
+from .common import flat, materialize, pick, runs
 
 SHINGLE = 3
 BITS = 2
@@ -201,9 +201,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, bits:
     """
     rows, named = _grouped(docs, shingle, bits)
     kept = named.select(F.col("component_id").alias("__id"), F.col("component_mark").alias("__mark")).distinct()
-    marked = docs.withColumn("__text_mark", F.xxhash64(F.col("`text`")))
-    same = F.col("`doc_id`").eqNullSafe(F.col("__id")) & (F.col("__text_mark") == F.col("__mark"))
+    plain, at = flat(docs)
+    marked = plain.withColumn("__text_mark", F.xxhash64(at["text"]))
+    same = F.col(at["doc_id"]).eqNullSafe(F.col("__id")) & (F.col("__text_mark") == F.col("__mark"))
     chosen = marked.join(kept.hint("shuffle_hash"), same, "left_semi")
     if rows.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
-        chosen = chosen.dropDuplicates(["doc_id", "__text_mark"])
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
+        chosen = chosen.dropDuplicates([at["doc_id"], "__text_mark"])
+    return chosen.drop("__text_mark").toDF(*docs.columns)
