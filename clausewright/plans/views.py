@@ -68,6 +68,19 @@ SELECT o_custkey AS entity_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'equity
        CASE WHEN o_orderkey % 7 = 0 THEN (o_custkey + 1) % (SELECT count(*) FROM {customer}) END AS crm_provider, o_orderkey % 5 = 0 AS infrastructure,
        CASE WHEN o_orderkey % 23 = 0 THEN 'guaranteed' END AS exempt_reason, o_orderkey % 13 = 0 AS board_approved
 FROM {orders}""",
+    # Literal wordings, ours, one for each reading.
+    "fx_clauses": """
+SELECT clause_id, text FROM (VALUES
+ (1, 'The exposure shall not exceed 20 per cent of Tier 1 capital.'), (2, 'A bank shall maintain a minimum of 9% of risk weighted assets.'),
+ (3, 'Complaints must be closed within 30 days of receipt.'), (4, 'The loan may go up to Rs. 50 lakh for each borrower.'),
+ (5, 'Leverage shall be at least 3 times the base.'), (6, '"Promoter" means a person named in paragraph 4(2) of Annex II.'),
+ (7, 'A bank shall not lend against its own shares.'), (8, 'These directions shall apply to all payment banks.'),
+ (9, 'Holdings below 10 per cent need no report.'), (10, 'Omitted with effect from 1 April.'),
+ (11, 'The board should review the policy; see paragraph 12 and paragraph 13(a).'), (12, 'Fees of more than fifty per cent are unusual.'),
+ (13, 'Banks may offer this facility to members.'), (14, 'The ratio is computed daily. It is shown in Annex 3.'), (15, 'This circular is for information.')) AS v(clause_id, text)""",
+    "fx_values": """
+SELECT id, x FROM (VALUES (1, '1,23,456.5'), (2, '(45.2)'), (3, '12 per cent'), (4, '7%'), (5, 'n/a'), (6, ' 1,000 '), (7, '(3)%')) AS v(id, x)""",
+    "fx_dates": "SELECT id, x FROM (VALUES (1, '2024-03-31'), (2, '31-12-2023'), (3, '5 June 2022'), (4, 'March 7, 2021'), (5, 'soon')) AS v(id, x)",
     "a_chunks": "SELECT doc_id AS chunk_id, source AS doc, lang AS category, text FROM {documents}",
     "a_questions": "SELECT item_id AS question_id, text FROM {benchmark}",
     "a_cases": """
