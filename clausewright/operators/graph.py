@@ -214,3 +214,20 @@ def edge_sentence() -> Column:
         ],
         say(" is related to "),
     )
+
+
+def restricted_parties(edges: DataFrame, entities: DataFrame, self_id: int) -> DataFrame:
+    """entity_id, reason, hops: directors, their relatives and companies, holders of a tenth or more and what
+    they hold a fifth of. The shorter way to a party replaces the longer one."""
+    directors = edges.where((c("edge_type") == "DIRECTOR_OF") & (c("to_entity") == self_id)).select(c("from_entity").alias("p"), F.lit("director").alias("reason"), F.lit(1).alias("hops"))
+    holders = edges.where((c("edge_type") == "OWNS") & (c("pct") >= HOLDER) & (c("to_entity") == self_id)).select(c("from_entity").alias("p"), F.lit("holder").alias("reason"), F.lit(1).alias("hops"))
+    first = directors.unionByName(holders)
+    kin = edges.where("edge_type = 'RELATIVE_OF'")
+    both = kin.select("from_entity", "to_entity").union(kin.select("to_entity", "from_entity"))
+    relatives = first.join(both, c("p") == c("from_entity")).select(c("to_entity").alias("p"), F.lit("relative").alias("reason"), F.lit(2).alias("hops"))
+    persons = first.unionByName(relatives)
+    held = edges.where(((c("edge_type") == "OWNS") & (c("pct") >= INFLUENCE)) | (c("edge_type") == "DIRECTOR_OF"))
+    firms = persons.join(held, c("p") == c("from_entity")).select(c("to_entity").alias("p"), F.lit("firm").alias("reason"), (c("hops") + 1).alias("hops"))
+    known = entities.select(c("entity_id").alias("p"))
+    every = persons.unionByName(firms).where(c("p") != self_id).join(known, "p", "left_semi")
+    return every.groupBy(c("p").alias("entity_id")).agg(F.min_by(F.struct("reason", "hops"), F.struct("hops", "reason")).alias("x")).select("entity_id", "x.reason", "x.hops")
