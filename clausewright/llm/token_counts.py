@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +14,6 @@ from pyspark.sql import DataFrame
 from .common import pick, runs
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_shared long"
-#: Texts encoded at once: as many as make up about so many bytes.
-ENCODE_BYTES = 1 << 20
 
 
 def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +52,78 @@ def attribute(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.
     return n, shared
 
 
+class SpanEncoder:
+    """Character spans of a text's tokens, from pieces that are encoded once and looked up afterwards.
+
+    The byte-level tokenizer parts a text before each blank that a word follows, and around runs of other
+    white space; no token crosses such a place and none depends on what lies beyond it. So a text's tokens
+    are its pieces' tokens in a row. A piece of ASCII letters and then ASCII marks (no apostrophe) parts between
+    the two, and its letters go to the BPE model at once. Texts with unusual white space are encoded whole.
+    """
+
+    KEEP, LONG = 400_000, 64
+    _PIECES = re.compile(r" ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]").findall
+    _UNUSUAL = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85]").search
+    _PLAIN = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, tuple[bytes, bytes, int]] = {}
+        self.stems: dict[str, list[int]] = {}
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        spans = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+        return spans[:, 0], spans[:, 1]
+
+    def _stem(self, stem: str) -> list[int]:
+        """Where the tokens of a word of ASCII letters end."""
+        ends = self.stems.get(stem)
+        if ends is None:
+            if len(self.stems) > self.KEEP:
+                self.stems.clear()
+            ends = self.stems[stem] = list(accumulate(len(t.value) for t in self.tokenizer.model.tokenize(stem.replace(" ", "\u0120"))))
+        return ends
+
+    def _piece(self, piece: str) -> tuple[bytes, bytes, int]:
+        plain = self._PLAIN(piece) if len(piece) <= self.LONG else None
+        if plain:
+            ends = self._stem(plain[1])
+            if plain[2]:
+                at = len(plain[1])
+                ends = ends + [at + e for e in self._whole(plain[2])[1].tolist()]
+            starts = [0, *ends[:-1]]
+        else:
+            starts, ends = self._whole(piece)
+        return np.array(starts, "<i4").tobytes(), np.array(ends, "<i4").tobytes(), len(ends)
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if self._UNUSUAL(text):
+            return self._whole(text)
+        known, found = self.known, []
+        pieces = self._PIECES(text)
+        for piece in pieces:
+            x = known.get(piece)
+            if x is None:
+                x = self._piece(piece)
+                if len(piece) <= self.LONG:
+                    if len(known) > self.KEEP:
+                        known.clear()
+                    known[piece] = x
+            found.append(x)
+        begin = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))[: len(pieces)]
+        at = np.repeat(begin, [n for _, _, n in found]) if found else np.zeros(0, np.int64)
+        return at + np.frombuffer(b"".join([s for s, _, _ in found]), "<i4"), at + np.frombuffer(b"".join([e for _, e, _ in found]), "<i4")
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> SpanEncoder:
+    """One encoder, with what it has looked up, for all tasks of a worker."""
+    return SpanEncoder(path)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, sections=line_sections) -> DataFrame:
     """Tokens of each section of each document: doc_id, section (from 0), start, end, n_tokens, n_shared.
 
@@ -66,15 +139,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, sections=line_sections) -> Dat
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
-        for batch in runs(batches, limit=ENCODE_BYTES):
-            texts = batch.column("text").to_pylist()
+        spans = encoder(tokenizer).spans
+        for batch in runs(batches):
             parts = []
-            for doc, text, encoded in zip(batch.column("doc_id").to_pylist(), texts, encode([t or "" for t in texts]), strict=True):
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = sections(text or "")
                 if len(a):
-                    spans = np.array(encoded.offsets, dtype=np.int64).reshape(-1, 2)
-                    parts.append((doc, a, b, *attribute(a, b, spans[:, 0], spans[:, 1])))
+                    parts.append((doc, a, b, *attribute(a, b, *spans(text))))
             if parts:
                 docs = [d for d, a, *_ in parts for _ in range(len(a))]
                 numbers = [pa.array(np.concatenate(c)) for c in zip(*(p[1:] for p in parts), strict=True)]
@@ -83,10 +154,3 @@ def count_tokens(docs: DataFrame, tokenizer: str, sections=line_sections) -> Dat
 
     return pick(docs, doc_id="doc_id", text="text").mapInArrow(count, SCHEMA)
 
-
-def _encoder(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda texts: tokenizer.encode_batch(texts, add_special_tokens=False)

@@ -301,6 +301,11 @@ def test_token_counts(spark):
     path = tokenizer_path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
     texts = [*ODD, "a\nbb\n\nccc", "\n\n\n", "x\n😀y"]
+    plain.encode_special_tokens = True
+    encoder = token_counts.SpanEncoder(path)
+    for t in [*filter(None, texts), *sample(spark, 60), "a  b\n c \n", "it's don't, x<|endoftext|>y  ", "tab\tend \u00a0nbsp"]:
+        first, last = encoder.spans(t)
+        assert list(zip(first.tolist(), last.tolist())) == plain.encode(t, add_special_tokens=False).offsets, t
     rows = token_counts.count_tokens(docs(spark, texts), path).collect()
     sums = Counter()
     for r in rows:
