@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -73,6 +74,7 @@ class SpanEncoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, tuple[bytes, bytes, int]] = {}
         self.stems: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {}
 
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         spans = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
@@ -92,12 +94,16 @@ class SpanEncoder:
         if plain:
             ends = self._stem(plain[1])
             if plain[2]:
-                at = len(plain[1])
-                ends = ends + [at + e for e in self._whole(plain[2])[1].tolist()]
+                at, marks = len(plain[1]), self.marks.get(plain[2])
+                if marks is None:
+                    marks = self._whole(plain[2])[1].tolist()
+                    if len(self.marks) < 10_000:
+                        self.marks[plain[2]] = marks
+                ends = ends + [at + e for e in marks]
             starts = [0, *ends[:-1]]
         else:
-            starts, ends = self._whole(piece)
-        return np.array(starts, "<i4").tobytes(), np.array(ends, "<i4").tobytes(), len(ends)
+            starts, ends = (x.tolist() for x in self._whole(piece))
+        return array("i", starts).tobytes(), array("i", ends).tobytes(), len(ends)
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if self._UNUSUAL(text):
@@ -115,7 +121,7 @@ class SpanEncoder:
             found.append(x)
         begin = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))[: len(pieces)]
         at = np.repeat(begin, [n for _, _, n in found]) if found else np.zeros(0, np.int64)
-        return at + np.frombuffer(b"".join([s for s, _, _ in found]), "<i4"), at + np.frombuffer(b"".join([e for _, e, _ in found]), "<i4")
+        return at + np.frombuffer(b"".join([s for s, _, _ in found]), np.intc), at + np.frombuffer(b"".join([e for _, e, _ in found]), np.intc)
 
 
 @lru_cache(maxsize=2)
