@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -166,17 +166,22 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         seen = state
 
 
-def _grouped(docs: DataFrame, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints (doc_id, mark, fp), and fp, component_id, component_mark of each distinct one:
-    the least doc_id of its component, nulls last, and of rows that share it the least mark."""
-    rows = materialize(fingerprints(docs, shingle), "simhash")
+def named_groups(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """fp, component_id, component_mark of each distinct fp of the rows (doc_id, mark, fp): the least doc_id of
+    its component, nulls last, and of rows that share it the least mark. link: distinct fp to links (a, b)."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     least = rows.groupBy("fp").agg(F.min(first).alias("first"))
-    roots = components(links(least.select("fp"), bits), "simhash")
+    roots = components(link(least.select("fp")), "simhash")
     linked = least.join(roots, least.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = materialize(linked, "simhash")
     top = linked.groupBy("root").agg(F.min("first").alias("top"))
-    return rows, linked.join(top, "root").select("fp", F.col("top.doc_id").alias("component_id"), F.col("top.mark").alias("component_mark"))
+    return linked.join(top, "root").select("fp", F.col("top.doc_id").alias("component_id"), F.col("top.mark").alias("component_mark"))
+
+
+def _grouped(docs: DataFrame, shingle: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints (doc_id, mark, fp) and their named groups."""
+    rows = materialize(fingerprints(docs, shingle), "simhash")
+    return rows, named_groups(rows, lambda distinct: links(distinct, bits))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -199,7 +204,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, bits:
     A row is found again by doc_id and text, so rows that share a doc_id but not the text are judged each
     by itself, and of rows that repeat both one stays.
     """
-    rows, named = _grouped(docs, shingle, bits)
+    return keep_first(docs, *_grouped(docs, shingle, bits))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The first document of each named group of the rows (doc_id, mark, fp), with all columns of docs."""
     kept = named.select(F.col("component_id").alias("__id"), F.col("component_mark").alias("__mark")).distinct()
     plain, at = flat(docs)
     marked = plain.withColumn("__text_mark", F.xxhash64(at["text"]))
