@@ -27,7 +27,7 @@ _GIVEN = FEMALE + MALE + FEMALE_CYRILLIC + MALE_CYRILLIC
 _LABEL = r"(?=[PpTtSsAa])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
 #: The kinds of entity, in the order in which they are looked for.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "secret": _LABEL + r"[A-Za-z0-9_\-./+]{6,}",
     "aws": r"AKIA[0-9A-Z]{16}\b",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -38,9 +38,15 @@ PATTERNS = {
     "given": r"(?=\p{Lu})(?:" + "|".join(_GIVEN) + r")(?= \p{Lu}\p{L}+)",
     "surname": r"(?=\p{Lu}\p{L})(?<=\b(?:" + "|".join(TITLES) + r")\.? |\b(?:" + "|".join(_GIVEN) + r") )\p{Lu}\p{L}[\p{L}'-]{0,40}",
 }
-#: An entity begins where a word does, or its digits after letters. All else is passed over quickly.
-_BEGIN = r"(?:(?<![\p{L}\p{N}._%+@])|(?<![0-9.+(])(?=[0-9]))"
-ANY = _BEGIN + "(?:" + "|".join(PATTERNS.values()) + ")"
+#: Where each kind may begin. An e-mail address begins where its run of characters does, or the last match
+#: ended; a secret's label anywhere; the rest is told apart by its first character before it is tried.
+_ANY_OF = lambda *kinds: "(?:" + "|".join(PATTERNS[k] for k in kinds) + ")"
+ANY = "|".join((
+    r"(?:\G|(?<![A-Za-z0-9._%+-]))" + PATTERNS["email"],
+    PATTERNS["secret"],
+    r"(?=\p{Lu})(?:(?<![\p{L}\p{N}_])" + _ANY_OF("aws", "iban", "given") + "|" + PATTERNS["surname"] + ")",
+    r"(?=[0-9+(])(?<![0-9])(?:(?<!\.)" + PATTERNS["ip"] + "|" + _ANY_OF("ssn", "card", "phone") + ")",
+))
 #: Texts with neither hold no entity, and most texts end here. The class before the names lets the search
 #: stop at capital letters alone.
 _WORDS = TITLES + _GIVEN
@@ -164,6 +170,7 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, hexa: Column, digit
     body = F.concat(F.substring(canon, 1, 2), F.lit("00"), _shape(F.substring(canon, F.lit(5), n), hexa))
     return (
         F.when(kind == "email", F.concat(_shape(F.substring(canon, F.lit(1), n - F.length(host)), hexa), host))
+        .when((kind == "secret") & (F.length(F.regexp_replace(canon, "[^0-9A-Za-z]", "")) < 6), F.substring(F.repeat(hexa, (n / 128 + 1).cast("int")), F.lit(1), n))
         .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$") & (n <= 128), F.substring(hexa, F.lit(1), n)).otherwise(_shape(canon, hexa)))
         .when(kind == "aws", F.concat(F.lit("AKIA"), _shape(F.substring(canon, F.lit(5), n), hexa)))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.lpad((98 - _mod97(body)).cast("string"), 2, "0"), F.substring(body, F.lit(5), n)))
@@ -231,7 +238,8 @@ def replace_pii(spark: SparkSession, docs: DataFrame, key: str = KEY) -> DataFra
     E-mail and IP addresses, phone, card, social-security and bank account numbers, access keys, labelled
     secrets, and names after a title or a known given name are detected. A surrogate is keyed and of the
     same kind: digits for digits (Luhn and IBAN checks hold where they held), letters for letters of the
-    same case, given names of the same gender and script, all in the mention's own format. Mentions of one
+    same case, given names of the same gender and script, all in the mention's own format. Secrets of fewer
+    than six letters and digits get hexadecimal digits, as their own form leaves too few surrogates. Mentions of one
     entity, however formatted, get one surrogate everywhere; different entities of a kind never share one,
     as all surrogates of the table are checked against each other and against the real entities.
 
