@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 LOCAL_SHARED = "/tmp/checkpoints/clausewright"
 #: A mapInArrow function cuts its batches into runs of about this many bytes of text.
 RUN_BYTES = 8 << 20
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,30 +56,47 @@ def keep_rows(docs: DataFrame, text: str, choose: Callable[[list[str | None]], I
     column = rows.columns.index(at[text])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs(batches, at[text]):
             yield batch.filter(pa.array(list(choose(batch.column(column).to_pylist())), pa.bool_()))
 
     return rows.mapInArrow(kept, rows.schema).toDF(*docs.columns)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, where the session sets it."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session without one has a folder of
+    this machine's in local mode, and is an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
     return (found or LOCAL_SHARED).rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back: lineage ends there, and an executor's
-    loss costs no more than the tasks it ran. The files go when the driver's JVM ends."""
+    loss costs no more than the tasks it ran. The shuffle files that it took go at once, its own files when the
+    driver's JVM ends or at discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.startswith(("file:", "/")) or "://" in folder:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def runs(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut where the text exceeds the limit; a row is never split."""
     for batch in batches:

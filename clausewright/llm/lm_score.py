@@ -1,134 +1,286 @@
-"""Stupid-backoff scores of documents, computed relationally over the corpus they come from."""
+"""Stupid-backoff scores of documents: n-gram count tables by hash bucket, joined to the documents' n-grams."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, pick, runs
 
-#: The factor of a step back from a word pair to the word.
+#: The factor of a step back to the shorter context.
 BACKOFF = 0.4
-#: Pairs seen fewer times are not in the model.
-LEAST_COUNT = 2
-#: The vocabulary: words that make up at least 1 / 2^VOCABULARY_BITS of the corpus, so at most 2^18 of them
-#: by counting; all others are one unknown word. The same share marks the heavy pairs.
-VOCABULARY_BITS = 18
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SHIFT = 32
+#: Text of one block of documents. A block's n-grams travel together, each different one once.
+BLOCK_BYTES = 4 << 20
+#: Different n-grams that one bucket of the count tables gets from all blocks, at most and about.
+BUCKET_GRAMS = 1 << 20
+LEAST_BUCKET_BITS = 10
 
+# Words are hashed by a polynomial over random numbers for their bytes, modulo 2^64, so that the hashes of all words of
+# a text come from one running sum. A-Z have the numbers of a-z.
+_BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_IN_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_BASE = 0x9E3779B97F4A7C15
+_CHUNK = 1 << 20
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode().translate(_LOWER).split() if text else []
+_BLOCKS = "block long, bucket int, n_words long, doc_ids array<long>, ends array<long>, data binary"
+_REQUESTS = "bucket int, block long, grams binary, n binary"
+_ANSWERS = "block long, bucket int, data binary"
+_RESULT = "doc_id long, n_words long, score double, per_word double"
 
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and their counts, combined within each run of texts."""
-    for batch in runs(batches):
-        counts: dict[bytes, int] = {}
-        for text in batch.column("text").to_pylist():
-            for w in words(text):
-                counts[w] = counts.get(w, 0) + 1
-        yield pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse, modulo 2^64."""
 
+    def of(x: int) -> np.ndarray:
+        found = np.full(n, x, np.uint64)
+        found[0] = 1
+        return np.cumprod(found)
 
-def _numbers(texts: list[str | None], vocabulary: dict[bytes, int]) -> list[np.ndarray]:
-    get = vocabulary.get
-    return [np.array([get(w, 0) for w in words(t)], dtype=np.int64) for t in texts]
+    return of(_BASE), of(pow(_BASE, -1, 1 << 64))
 
 
-def _pairs(ids: np.ndarray) -> np.ndarray:
-    return ids[:-1] << _SHIFT | ids[1:]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """h, with all bits of each number spread over the whole of it, in place."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(33)
+    return h
 
 
-class _Model:
-    """What every worker holds: the vocabulary with its counts and the heavy pairs, both of bounded size."""
+def _starts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end."""
+    edge = np.diff(_IN_WORD[np.frombuffer(data, np.uint8)].astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
-    def __init__(self, rows: list, total: int, backoff: float):
-        known = sorted((bytes(r["word"]), r["n"]) for r in rows)
-        self.vocabulary = {w: i + 1 for i, (w, _) in enumerate(known)}
-        counts = np.array([total - sum(n for _, n in known)] + [n for _, n in known], dtype=np.float64)
-        self.log_counts = np.log(np.maximum(counts, 1))
-        self.single = self.log_counts - np.log(max(total, 1)) + np.log(backoff)  # of a word after a step back
-        self.heavy, self.heavy_gain = np.zeros(0, np.int64), np.zeros(0)
 
-    def gain(self, pair: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """What a pair in the model adds to its second word's score after a step back."""
-        return np.log(count) - self.log_counts[pair >> _SHIFT] - self.single[pair & ((1 << _SHIFT) - 1)]
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its 64-bit hash."""
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + _CHUNK)
+        to = cut.end() if cut else len(data)
+        part = data[at:to]
+        power, inverse = _powers(1 << (len(part) - 1).bit_length())
+        first, last = _starts(part)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[np.frombuffer(part, np.uint8)] * power[: len(part)], out=total[1:])
+        starts.append(first + at)
+        hashes.append(_mixed((total[last] - total[first]) * inverse[first]))
+        at = to
+    return np.concatenate(starts), np.concatenate(hashes)
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST_COUNT, bits: int = VOCABULARY_BITS) -> DataFrame:
-    """Stupid-backoff log score of every document: doc_id, n_words, score (sum of logs), per_word.
+def _sorted_places(key: np.ndarray) -> np.ndarray:
+    """A stable argsort. Leading bits and place are sorted as one number, which is much faster than places by key;
+    the few keys that differ in their last bits only are put right afterwards."""
+    bits = max(1, (len(key) - 1).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    both = key & ~low
+    both |= np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    both >>= np.uint64(bits)
+    ordered = key[order]
+    same = both[1:] == both[:-1]
+    for i in np.flatnonzero(same & (ordered[1:] != ordered[:-1])).tolist():
+        lo, hi = np.searchsorted(both, both[i], "left"), np.searchsorted(both, both[i], "right")
+        part = np.sort(order[lo:hi])
+        order[lo:hi] = part[np.argsort(key[part], kind="stable")]
+    return order
+
+
+def _edges(ordered: np.ndarray) -> np.ndarray:
+    """Where each different value of an ordered array begins."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
-    Words are blank-separated, A-Z lower-cased. A word scores log(c(v w) / c(v)) after v if the pair was
-    seen at least `least` times in all documents, else log(backoff * c(w) / N); a document's first word
-    has no predecessor and scores as after a step back. Counts cover all documents, whole.
 
-    Pair counts are a table partitioned by the pair's hash. A document's pairs are exploded and joined to
-    it, and what they gain is summed for the document. Pairs that hold at least 1 / 2^bits of all
-    occurrences (so 2^bits of them at most) are resolved before the shuffle, from a broadcast table: no
-    frequent pair is a hot key.
+class _Grams:
+    """The words, pairs and triples of a block of documents.
 
-    Null, empty and blank texts have no words, score 0 and per_word null. Repeated rows are each counted
-    and each scored. An empty table gives an empty result. Other columns are ignored.
+    doc: the document of each word. key: the n-grams' hashes, all words first, then pairs, then triples; at: the place
+    of their last word.
     """
-    rows = pick(docs, doc_id="doc_id", text="text")
-    unigrams = materialize(rows.select("text").mapInArrow(_unigrams, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
-    total = unigrams.agg(F.sum("n")).first()[0] or 0
-    model = _Model(unigrams.where(F.col("n") * F.lit(1 << bits) >= total).collect(), total, backoff)
-    words_known = spark.sparkContext.broadcast(model)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs(batches):
-            found = [_pairs(ids) for ids in _numbers(batch.column("text").to_pylist(), words_known.value.vocabulary)]
-            pair, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
-            yield pa.record_batch([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
-
-    counts = rows.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    table = materialize(counts.where(F.col("n") >= least), "pairs")
-    is_heavy = F.col("n") * F.lit(1 << bits) >= total
-    heavy = table.where(is_heavy).orderBy("pair").collect()
-    model.heavy = np.array([r["pair"] for r in heavy], dtype=np.int64)
-    model.heavy_gain = model.gain(model.heavy, np.array([r["n"] for r in heavy], dtype=np.float64))
-    known = spark.sparkContext.broadcast(model)
-
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def __init__(self, data: bytes, ends: np.ndarray):
+        start, one = word_hashes(data)
+        self.words = np.diff(np.searchsorted(start, ends), prepend=0)
+        self.doc = np.repeat(np.arange(len(ends)), self.words)
+        place = np.arange(len(one))
+        two = one[:-1] * np.uint64(0xD6E8FEB86659FD93) + one[1:]
+        three = two[:-1] * np.uint64(0xA0761D6478BD642F) + one[2:]
+        in_two, in_three = self.doc[1:] == self.doc[:-1], self.doc[2:] == self.doc[:-2]
+        self.sizes = (len(one), int(in_two.sum()), int(in_three.sum()))
+        self.at = np.concatenate((place, place[1:][in_two], place[2:][in_three]))
+        self.key = np.concatenate((one, two[in_two], three[in_three]))
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different keys in order, and their counts."""
+        ordered = np.sort(self.key)
+        first = _edges(ordered)
+        return ordered[first], np.diff(np.append(first, len(ordered)))
+
+    def elsewhere(self, others: np.ndarray) -> list[np.ndarray]:
+        """For each place, how often the word there, the pair and the triple that end there occur in other documents
+        than its own. others: how often each different n-gram occurs outside of this block."""
+        order = _sorted_places(self.key)
+        ordered, doc = self.key[order], self.doc[self.at[order]]
+        new = np.ones(len(doc), bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        both = new.copy()
+        both[1:] |= doc[1:] != doc[:-1]
+        first, begin = np.flatnonzero(new), np.flatnonzero(both)
+        n, times = np.diff(np.append(first, len(doc))), np.diff(np.append(begin, len(doc)))
+        whole = (others + n)[np.cumsum(new[begin]) - 1]  # a count for each (key, document)
+        counts = np.empty(len(doc), np.int64)
+        counts[order] = np.repeat(whole - times, times)
+        out, lo = [], 0
+        for size in self.sizes:
+            found = np.zeros(len(self.doc), np.int64)
+            found[self.at[lo : lo + size]] = counts[lo : lo + size]
+            out.append(found)
+            lo += size
+        return out
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest one asks; the first byte says how many."""
+    top = int(x.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+
+
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of documents: their ids, where each one's text ends in the block, and the texts, parted by newlines."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in runs(batches, limit=block_bytes):
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            data = b"\n".join(texts)
+            lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in (batch.column("doc_id"), pa.array(ends, pa.int64()))]
+            yield pa.record_batch([pa.array([block]), pa.array([-1], pa.int32()), pa.array([len(_starts(data)[0])]), *lists, pa.array([data], pa.binary())], [c.split()[0] for c in _BLOCKS.split(", ")])
+            block += 1
+
+    return pick(docs, doc_id="doc_id", text="text").mapInArrow(build, _BLOCKS)
+
+
+def _request(bits: int):
+    """A mapInArrow function: a block's different n-grams with their counts, a row for each bucket of hashes."""
+
+    def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair, n = (batch.column(c).to_numpy() for c in ("pair", "n"))
-            yield pa.record_batch([pa.array(pair), pa.array(known.value.gain(pair, n))], ["pair", "gain"])
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = known.value
-        for batch in runs(batches, limit=1 << 20):
-            out: list[tuple[np.ndarray, ...]] = []
-            keys, base, n_words = batch.column("row").to_numpy(), [], []
-            for key, ids in zip(keys.tolist(), _numbers(batch.column("text").to_pylist(), m.vocabulary), strict=True):
-                n_words.append(len(ids))
-                pair, times = np.unique(_pairs(ids), return_counts=True)
-                at = np.searchsorted(m.heavy, pair)
-                at[at == len(m.heavy)] = 0
-                hit = m.heavy[at] == pair if len(m.heavy) else np.zeros(len(pair), bool)
-                base.append(float(m.single[ids].sum() + (m.heavy_gain[at[hit]] * times[hit]).sum()))
-                out.append((np.full((~hit).sum(), key), pair[~hit], times[~hit]))
-            row, pair, times = (np.concatenate(c) for c in zip(*out, strict=True))
-            light = len(row)
-            # A document's own part travels under a pair that no document has.
-            all_rows = pa.array(np.concatenate((row, keys)))
-            all_pairs = pa.array(np.concatenate((pair, -1 - keys)))
-            all_times = pa.array(np.concatenate((times.astype(np.int32), np.zeros(len(keys), np.int32))))
-            own = [pa.concat_arrays([pa.nulls(light, x.type), x]) for x in (pa.array(base, pa.float64()), pa.array(n_words, pa.int64()), batch.column("doc_id"))]
-            yield pa.record_batch([all_rows, all_pairs, all_times, *own], ["row", "pair", "times", "base", "n_words", "doc_id"])
-
-    keyed = rows.withColumn("row", F.monotonically_increasing_id())
-    exploded = keyed.mapInArrow(explode, "row long, pair long, times int, base double, n_words long, doc_id long")
-    light = table.where(~is_heavy).mapInArrow(gains, "pair long, gain double")
-    scored = exploded.join(light, "pair", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_words").alias("n_words"),
-        (F.sum("base") + F.sum(F.coalesce(F.col("gain"), F.lit(0.0)) * F.col("times"))).alias("score"),
-    )
-    return scored.select("doc_id", "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("per_word"))
+            for block, ends, data in zip(*(batch.column(c) for c in ("block", "ends", "data")), strict=True):
+                grams = _Grams(data.as_py(), np.array(ends.as_py(), np.int64))
+                key, n = grams.distinct()
+                bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
+                edge = _edges(bucket)
+                spans = list(zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)][: len(edge)], strict=True))
+                planes = [key[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in spans]  # like bytes side by side are small on disk
+                yield pa.record_batch(
+                    [pa.array(bucket[edge], pa.int32()), pa.array([block.as_py()] * len(edge), pa.int64()), pa.array(planes, pa.binary()), pa.array([_packed(n[a:b]) for a, b in spans], pa.binary())],
+                    ["bucket", "block", "grams", "n"],
+                )
+
+    return request
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str, names: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows (names) by key, of batches that are sorted by it; one key's rows are held at a time."""
+    now, held = None, []
+    for batch in batches:
+        for k, *row in zip(batch.column(key).to_pylist(), *(batch.column(n) for n in names), strict=True):
+            if k != now and held:
+                yield now, held
+                held = []
+            now = k
+            held.append(tuple(row))
+    if held:
+        yield now, held
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The count table of each bucket, joined to what the blocks asked: how often their n-grams occur outside of them."""
+    for bucket, rows in _groups(batches, "bucket", ("block", "grams", "n")):
+        keys = [np.ascontiguousarray(np.frombuffer(g.as_buffer(), np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for _, g, _ in rows]
+        own = [_unpacked(n.as_py()) for _, _, n in rows]
+        key, n = np.concatenate(keys), np.concatenate(own)
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        first = _edges(ordered)
+        total = np.add.reduceat(n[order], first)
+        others = np.empty(len(key), np.int64)
+        others[order] = np.repeat(total, np.diff(np.append(first, len(key)))) - n[order]
+        parts = np.split(others, np.cumsum([len(k) for k in keys])[:-1])
+        yield pa.record_batch([pa.array([b.as_py() for b, _, _ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([_packed(x) for x in parts], pa.binary())], ["block", "bucket", "data"])
+
+
+def _scores(grams: _Grams, others: np.ndarray, total: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words and score of each document of a block."""
+    one, two, three = grams.elsewhere(others)
+    words, back = grams.words, np.log(backoff)
+    nth = np.arange(len(one)) - np.repeat(np.cumsum(words) - words, words)
+    log_two = np.log(np.maximum(two, 1))
+    s = np.log(np.maximum(one, 0.5)) - np.repeat(np.log(np.maximum(total - words, 1)), words) + back * np.minimum(nth, 2)
+    at = np.flatnonzero(two > 0)
+    s[at] = log_two[at] - np.log(np.maximum(one[at - 1], 1)) + back * (nth[at] >= 2)
+    at = np.flatnonzero(three > 0)
+    s[at] = np.log(three[at]) - log_two[at - 1]
+    return words, np.bincount(grams.doc, weights=s, minlength=len(words)).astype(np.float64)
+
+
+def score_documents(spark: SparkSession, docs: DataFrame, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Stupid-backoff log score of every document: doc_id, n_words, score (sum of logs), per_word.
+
+    Words are blank-separated, A-Z lower-cased. A document is scored by the counts of all other documents: c is
+    how often an n-gram occurs in the whole table less its occurrences in the document itself. A word w after
+    u, v scores log(c(u v w) / c(u v)) if c(u v w) > 0; else log(backoff * c(v w) / c(v)) if c(v w) > 0; else
+    log(backoff^2 * max(c(w), 1/2) / N), N being the words of the other documents (1 at least). A document's
+    first word has no context and steps back from none, its second one from one.
+
+    Every word, pair and triple of every document is counted, whatever its count and at every size. Documents
+    lie in blocks; the different n-grams of each block, with their counts, are dealt out by hash into the buckets
+    of the count table, so a frequent n-gram is one entry of each block and no hot key; buckets are summed, and
+    what the other blocks hold is joined back to the block, where it is summed by document. Buckets grow in
+    number with the corpus, so that one always fits a task. N-grams are known by a 64-bit hash: two that share one
+    count as one, which some 10^-7 of them do among 10^13.
+
+    A very long text is a block of its own. Null, empty and blank texts have no words, score 0 and per_word
+    null. Repeated rows are each counted and each scored, and count as other documents for each other. An empty
+    table gives an empty result. Other columns are ignored.
+    """
+    blocks = materialize(_blocks(docs, block_bytes), "lm_blocks")
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    bits = max(LEAST_BUCKET_BITS, (3 * total // BUCKET_GRAMS).bit_length())
+    asked = blocks.select("block", "ends", "data").mapInArrow(_request(bits), _REQUESTS)
+    counted = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer, _ANSWERS)
+    answers = materialize(counted, "lm_counts")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, "block", ("doc_ids", "ends", "data")):
+            ids, ends, data = rows[0]  # the block itself; its answers follow by bucket
+            grams = _Grams(data.as_py(), np.array(ends.as_py(), np.int64))
+            others = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x.as_py()) for _, _, x in rows[1:])])
+            n, s = _scores(grams, others, total, backoff)
+            mean = pa.array(s / np.maximum(n, 1), mask=n == 0)
+            yield pa.record_batch([ids.values, pa.array(n, pa.int64()), pa.array(s), mean], [c.split()[0] for c in _RESULT.split(", ")])
+
+    rows = blocks.drop("n_words").unionByName(answers, allowMissingColumns=True)
+    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(score, _RESULT)

@@ -114,15 +114,22 @@ FROM e GROUP BY conv_id
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
-p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
-u AS (SELECT word, count(*) AS n, sum(count(*)) OVER () AS total FROM p GROUP BY word),
-v AS (SELECT CASE WHEN n * 262144 >= total THEN word ELSE '' END AS k, sum(n) AS n, any_value(total) AS total FROM u GROUP BY 1),
-q AS (SELECT doc_id, i, CASE WHEN n * 262144 >= total THEN word ELSE '' END AS k FROM p JOIN u USING (word)),
-b AS (SELECT doc_id, i, k, lag(k) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM q),
-c AS (SELECT prev, k, count(*) AS n FROM b WHERE prev IS NOT NULL GROUP BY prev, k HAVING count(*) >= 2),
+p AS (SELECT doc_id, unnest(w) AS c, unnest(range(1, len(w) + 1)) AS i FROM w),
+t AS (SELECT doc_id, i, c, lag(c) OVER d AS b, lag(c, 2) OVER d AS a FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+n AS (
+  SELECT doc_id, i,
+    count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n,
+    count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) AS one,
+    CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY doc_id, b, c) ELSE 0 END AS two,
+    CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY doc_id, a, b, c) ELSE 0 END AS three
+  FROM t),
+m AS (SELECT *, lag(one) OVER d AS one_before, lag(two) OVER d AS two_before FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 s AS (
-  SELECT b.doc_id, sum(CASE WHEN c.n IS NOT NULL THEN ln(c.n) - ln(pv.n) ELSE ln(0.4) + ln(v.n) - ln(v.total) END) AS score
-  FROM b JOIN v USING (k) LEFT JOIN c ON c.prev = b.prev AND c.k = b.k LEFT JOIN v pv ON pv.k = b.prev GROUP BY b.doc_id)
+  SELECT doc_id, sum(CASE
+    WHEN three > 0 THEN ln(three) - ln(two_before)
+    WHEN two > 0 THEN ln(two) - ln(one_before) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+    ELSE ln(greatest(one, 0.5)) - ln(greatest(n, 1)) + ln(0.4) * least(i - 1, 2) END) AS score
+  FROM m GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(coalesce(score, 0), 6) AS score, round(score / len(w.w), 6) AS per_word
 FROM w LEFT JOIN s USING (doc_id)
 """,

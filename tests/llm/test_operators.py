@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from clausewright.llm import chat, decontaminate, lm_score, packing, pii, quality, sharding, simhash, token_counts, toxicity
 from clausewright.llm.common import Words, pick, tokenizer_path
@@ -307,20 +308,49 @@ def test_pii_surrogates_stay_distinct(spark):
     assert len({r.text for r in found}) == 120
 
 
-def test_lm_score(spark):
-    texts = [*ODD[:5], "the cat sat on the mat", "the cat ran on the road", "a dog sat"]
-    split = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
-    one, two = Counter(w for s in split for w in s), Counter(p for s in split for p in zip(s, s[1:]))
-    n = sum(one.values())
-    found = {r.doc_id: r for r in lm_score.score_documents(spark, docs(spark, texts)).collect()}
-    for i, s in enumerate(split):
-        want = 0.0
-        for k, w in enumerate(s):
-            pair = two[s[k - 1], w] if k else 0
-            want += np.log(pair / one[s[k - 1]]) if pair >= 2 else np.log(0.4 * one[w] / n)
-        assert found[i].n_words == len(s) and found[i].score == pytest.approx(want)
-        assert (found[i].per_word is None) == (not s)
+def brute_scores(texts, backoff=0.4):
+    split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    grams = lambda s: Counter(tuple(s[i : i + k]) for k in (1, 2, 3) for i in range(len(s) - k + 1))
+    whole = sum(map(grams, split), Counter())
+    for s in split:
+        c = whole.copy()
+        c.subtract(grams(s))
+        n, score = sum(map(len, split)) - len(s), 0.0
+        for i, w in enumerate(s):
+            if i > 1 and c[tuple(s[i - 2 : i + 1])]:
+                score += np.log(c[tuple(s[i - 2 : i + 1])] / c[tuple(s[i - 2 : i])])
+            elif i and c[s[i - 1], w]:
+                score += np.log(c[s[i - 1], w] / c[s[i - 1],]) + (i > 1) * np.log(backoff)
+            else:
+                score += np.log(max(c[w,], 0.5) / max(n, 1)) + min(i, 2) * np.log(backoff)
+        yield len(s), score
+
+
+@pytest.mark.parametrize("block", [1 << 22, 200])
+def test_lm_score(spark, block):
+    texts = [*ODD, *sample(spark, 40), "the cat sat on the mat", "the cat ran on the road", "a dog sat", "a dog sat", "x" * 3_000_000, "deep sea " * 150_000]
+    table = docs(spark, texts).union(docs(spark, ["a b a b"] * 2, -1).withColumn("doc_id", F.lit(None).cast("long")))
+    want = list(brute_scores([*texts, "a b a b", "a b a b"]))
+    rows = lm_score.score_documents(spark, table, block_bytes=block).collect()
+    found = {r.doc_id: r for r in rows}
+    assert len(rows) == len(want) and sorted(r.score for r in rows if r.doc_id is None) == pytest.approx([want[-1][1]] * 2)
+    for i in range(len(texts)):
+        assert (found[i].n_words, found[i].score) == (want[i][0], pytest.approx(want[i][1])), texts[i]
+        assert found[i].per_word == (pytest.approx(want[i][1] / want[i][0]) if want[i][0] else None)
+
+
+def test_lm_score_of_small_tables(spark):
     assert lm_score.score_documents(spark, docs(spark, [])).count() == 0
+    assert lm_score.score_documents(spark, docs(spark, [None, ""])).filter("score = 0 and per_word is null").count() == 2
+    alone = lm_score.score_documents(spark, docs(spark, ["a b"])).first()
+    assert alone.score == pytest.approx(np.log(0.5) * 2 + np.log(0.4))
+
+
+def test_lm_score_sorts_clashing_hashes():
+    rng = np.random.default_rng(0)
+    high = rng.integers(0, 4, 5000, dtype=np.uint64) << np.uint64(60)
+    for key in (high | rng.integers(0, 3, 5000, dtype=np.uint64), rng.integers(0, 1 << 63, 7, dtype=np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.uint64)):
+        assert (lm_score._sorted_places(key) == np.argsort(key, kind="stable")).all()
 
 
 def test_token_counts(spark):
