@@ -16,6 +16,7 @@ from .common import materialize, pick, runs
 
 #: The factor of a step back to the shorter context.
 BACKOFF = 0.4
+ORDER = 3
 #: Text of one block of documents. A block's n-grams travel together, each different one once.
 BLOCK_BYTES = 4 << 20
 #: Different n-grams that one bucket of the count tables gets from all blocks, at most and about.
@@ -29,11 +30,12 @@ _BYTES[65:91] = _BYTES[97:123]
 _IN_WORD = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 20
+_STEP = 0xD6E8FEB86659FD93
+_CHUNK = 1 << 19
 
-_BLOCKS = "block long, bucket int, n_words long, doc_ids array<long>, ends array<long>, data binary"
-_REQUESTS = "bucket int, block long, grams binary, n binary"
-_ANSWERS = "block long, bucket int, data binary"
+_BLOCKS = "block long, n int, bucket int, n_words long, doc_ids array<long>, ends array<long>, data binary"
+_REQUESTS = "bucket int, block long, grams binary, times binary"
+_ANSWERS = "block long, n int, bucket int, data binary"
 _RESULT = "doc_id long, n_words long, score double, per_word double"
 
 
@@ -108,51 +110,44 @@ def _edges(ordered: np.ndarray) -> np.ndarray:
 
 
 class _Grams:
-    """The words, pairs and triples of a block of documents.
+    """The n-grams of a block of documents, up to an order, by the order.
 
-    doc: the document of each word. key: the n-grams' hashes, all words first, then pairs, then triples; at: the place
-    of their last word.
+    doc: the document of each word. at: the place of each n-gram's last word; key: its hash.
     """
 
-    def __init__(self, data: bytes, ends: np.ndarray):
-        start, one = word_hashes(data)
+    def __init__(self, ends: pa.ListScalar, data: pa.BinaryScalar, order: int = ORDER):
+        ends = ends.values.to_numpy()
+        start, key = word_hashes(pa.decompress(data.as_buffer(), int(ends[-1]) - 1, "zstd", asbytes=True))
         self.words = np.diff(np.searchsorted(start, ends), prepend=0)
         self.doc = np.repeat(np.arange(len(ends)), self.words)
-        place = np.arange(len(one))
-        two = one[:-1] * np.uint64(0xD6E8FEB86659FD93) + one[1:]
-        three = two[:-1] * np.uint64(0xA0761D6478BD642F) + one[2:]
-        in_two, in_three = self.doc[1:] == self.doc[:-1], self.doc[2:] == self.doc[:-2]
-        self.sizes = (len(one), int(in_two.sum()), int(in_three.sum()))
-        self.at = np.concatenate((place, place[1:][in_two], place[2:][in_three]))
-        self.key = np.concatenate((one, two[in_two], three[in_three]))
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The different keys in order, and their counts."""
-        ordered = np.sort(self.key)
+        self.at, self.key = {1: np.arange(len(key))}, {1: key}
+        word = key
+        for n in range(2, order + 1):
+            key = key[:-1] * np.uint64(_STEP + 2 * n) + word[n - 1 :]
+            whole = self.doc[n - 1 :] == self.doc[: max(0, len(self.doc) - n + 1)]
+            self.at[n], self.key[n] = np.flatnonzero(whole) + n - 1, key[whole]
+
+    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The different keys of an order, sorted, and their counts."""
+        ordered = np.sort(self.key[n])
         first = _edges(ordered)
         return ordered[first], np.diff(np.append(first, len(ordered)))
 
-    def elsewhere(self, others: np.ndarray) -> list[np.ndarray]:
-        """For each place, how often the word there, the pair and the triple that end there occur in other documents
-        than its own. others: how often each different n-gram occurs outside of this block."""
-        order = _sorted_places(self.key)
-        ordered, doc = self.key[order], self.doc[self.at[order]]
+    def elsewhere(self, n: int, others: np.ndarray) -> np.ndarray:
+        """For each place, how often the n-gram that ends there occurs in other documents than its own; 0 where none
+        ends. others: how often each different n-gram occurs outside of this block."""
+        order = _sorted_places(self.key[n])
+        ordered, doc = self.key[n][order], self.doc[self.at[n][order]]
         new = np.ones(len(doc), bool)
         np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
         both = new.copy()
         both[1:] |= doc[1:] != doc[:-1]
         first, begin = np.flatnonzero(new), np.flatnonzero(both)
-        n, times = np.diff(np.append(first, len(doc))), np.diff(np.append(begin, len(doc)))
-        whole = (others + n)[np.cumsum(new[begin]) - 1]  # a count for each (key, document)
-        counts = np.empty(len(doc), np.int64)
-        counts[order] = np.repeat(whole - times, times)
-        out, lo = [], 0
-        for size in self.sizes:
-            found = np.zeros(len(self.doc), np.int64)
-            found[self.at[lo : lo + size]] = counts[lo : lo + size]
-            out.append(found)
-            lo += size
-        return out
+        times = np.diff(np.append(begin, len(doc)))
+        whole = (others + np.diff(np.append(first, len(doc))))[np.cumsum(new[begin]) - 1]  # a count for each (key, document)
+        found = np.zeros(len(self.doc), np.int64)
+        found[self.at[n][order]] = np.repeat(whole - times, times)
+        return found
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -167,7 +162,8 @@ def _unpacked(x: bytes) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Blocks of documents: their ids, where each one's text ends in the block, and the texts, parted by newlines."""
+    """Blocks of documents: their ids, where each one's text ends in the block, and the texts, parted by newlines and
+    compressed."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -176,32 +172,39 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
             ends = np.cumsum([len(t) + 1 for t in texts])
             data = b"\n".join(texts)
             lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), x) for x in (batch.column("doc_id"), pa.array(ends, pa.int64()))]
-            yield pa.record_batch([pa.array([block]), pa.array([-1], pa.int32()), pa.array([len(_starts(data)[0])]), *lists, pa.array([data], pa.binary())], [c.split()[0] for c in _BLOCKS.split(", ")])
+            yield pa.record_batch([pa.array([block]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([len(_starts(data)[0])]), *lists, pa.array([pa.compress(data, "zstd", asbytes=True)], pa.binary())], [c.split()[0] for c in _BLOCKS.split(", ")])
             block += 1
 
     return pick(docs, doc_id="doc_id", text="text").mapInArrow(build, _BLOCKS)
 
 
-def _request(bits: int):
+def _request(n: int, bits: int):
     """A mapInArrow function: a block's different n-grams with their counts, a row for each bucket of hashes."""
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ends, data in zip(*(batch.column(c) for c in ("block", "ends", "data")), strict=True):
-                grams = _Grams(data.as_py(), np.array(ends.as_py(), np.int64))
-                key, n = grams.distinct()
+                key, times = _Grams(ends, data, n).distinct(n)
                 bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
                 edge = _edges(bucket)
+                # Bytes of like weight of the steps from key to key lie side by side: they are small on disk.
+                step = np.diff(key, prepend=np.uint64(0))
+                step[edge] = key[edge]
                 spans = list(zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)][: len(edge)], strict=True))
-                planes = [key[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in spans]  # like bytes side by side are small on disk
+                grams = [step[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in spans]
                 yield pa.record_batch(
-                    [pa.array(bucket[edge], pa.int32()), pa.array([block.as_py()] * len(edge), pa.int64()), pa.array(planes, pa.binary()), pa.array([_packed(n[a:b]) for a, b in spans], pa.binary())],
-                    ["bucket", "block", "grams", "n"],
+                    [pa.array(bucket[edge]), pa.array([block.as_py()] * len(edge), pa.int64()), pa.array(grams, pa.binary()), pa.array([_packed(times[a:b]) for a, b in spans], pa.binary())],
+                    [c.split()[0] for c in _REQUESTS.split(", ")],
                 )
 
     return request
 
 
+def _keys(grams: pa.BinaryScalar) -> np.ndarray:
+    planes = np.frombuffer(grams.as_buffer(), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str, names: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows (names) by key, of batches that are sorted by it; one key's rows are held at a time."""
     now, held = None, []
@@ -216,34 +219,37 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, names: tuple[str, ...])
         yield now, held
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The count table of each bucket, joined to what the blocks asked: how often their n-grams occur outside of them."""
-    for bucket, rows in _groups(batches, "bucket", ("block", "grams", "n")):
-        keys = [np.ascontiguousarray(np.frombuffer(g.as_buffer(), np.uint8).reshape(8, -1).T).view(np.uint64).ravel() for _, g, _ in rows]
-        own = [_unpacked(n.as_py()) for _, _, n in rows]
-        key, n = np.concatenate(keys), np.concatenate(own)
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        first = _edges(ordered)
-        total = np.add.reduceat(n[order], first)
-        others = np.empty(len(key), np.int64)
-        others[order] = np.repeat(total, np.diff(np.append(first, len(key)))) - n[order]
-        parts = np.split(others, np.cumsum([len(k) for k in keys])[:-1])
-        yield pa.record_batch([pa.array([b.as_py() for b, _, _ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([_packed(x) for x in parts], pa.binary())], ["block", "bucket", "data"])
+def _answer(n: int):
+    """A mapInArrow function: the count table of each bucket, joined to what the blocks asked: how often their n-grams
+    occur outside of them."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches, "bucket", ("block", "grams", "times")):
+            keys, own = [_keys(g) for _, g, _ in rows], [_unpacked(t.as_py()) for _, _, t in rows]
+            key, times = np.concatenate(keys), np.concatenate(own)
+            order = _sorted_places(key)
+            first = _edges(key[order])
+            total = np.add.reduceat(times[order], first)
+            others = np.empty(len(key), np.int64)
+            others[order] = np.repeat(total, np.diff(np.append(first, len(key)))) - times[order]
+            parts = np.split(others, np.cumsum([len(k) for k in keys])[:-1])
+            same = lambda x: pa.array([x] * len(rows), pa.int32())
+            yield pa.record_batch([pa.array([b.as_py() for b, _, _ in rows], pa.int64()), same(n), same(bucket), pa.array([_packed(x) for x in parts], pa.binary())], [c.split()[0] for c in _ANSWERS.split(", ")])
+
+    return answer
 
 
-def _scores(grams: _Grams, others: np.ndarray, total: int, backoff: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words and score of each document of a block."""
-    one, two, three = grams.elsewhere(others)
+def _scores(grams: _Grams, others: dict[int, np.ndarray], total: int, backoff: float) -> np.ndarray:
+    """The score of each document of a block."""
     words, back = grams.words, np.log(backoff)
-    nth = np.arange(len(one)) - np.repeat(np.cumsum(words) - words, words)
-    log_two = np.log(np.maximum(two, 1))
-    s = np.log(np.maximum(one, 0.5)) - np.repeat(np.log(np.maximum(total - words, 1)), words) + back * np.minimum(nth, 2)
-    at = np.flatnonzero(two > 0)
-    s[at] = log_two[at] - np.log(np.maximum(one[at - 1], 1)) + back * (nth[at] >= 2)
-    at = np.flatnonzero(three > 0)
-    s[at] = np.log(three[at]) - log_two[at - 1]
-    return words, np.bincount(grams.doc, weights=s, minlength=len(words)).astype(np.float64)
+    nth = np.arange(len(grams.doc)) - np.repeat(np.cumsum(words) - words, words)
+    count = grams.elsewhere(1, others[1])
+    s = np.log(np.maximum(count, 0.5)) - np.repeat(np.log(np.maximum(total - words, 1)), words) + back * np.minimum(nth, ORDER - 1)
+    for n in range(2, ORDER + 1):
+        shorter, count = count, grams.elsewhere(n, others[n])
+        at = np.flatnonzero(count > 0)
+        s[at] = np.log(count[at]) - np.log(np.maximum(shorter[at - 1], 1)) + back * (np.minimum(nth[at], ORDER - 1) - n + 1)
+    return np.bincount(grams.doc, weights=s, minlength=len(words)).astype(np.float64)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -268,19 +274,20 @@ def score_documents(spark: SparkSession, docs: DataFrame, backoff: float = BACKO
     """
     blocks = materialize(_blocks(docs, block_bytes), "lm_blocks")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    bits = max(LEAST_BUCKET_BITS, (3 * total // BUCKET_GRAMS).bit_length())
-    asked = blocks.select("block", "ends", "data").mapInArrow(_request(bits), _REQUESTS)
-    counted = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer, _ANSWERS)
-    answers = materialize(counted, "lm_counts")
+    bits = max(LEAST_BUCKET_BITS, (total // BUCKET_GRAMS).bit_length())
+    rows = blocks.drop("n_words")
+    for n in range(1, ORDER + 1):  # one after the other, so that only one order's n-grams are on disk at a time
+        asked = blocks.select("block", "ends", "data").mapInArrow(_request(n, bits), _REQUESTS)
+        counted = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer(n), _ANSWERS)
+        rows = rows.unionByName(materialize(counted, "lm_counts"), allowMissingColumns=True)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, "block", ("doc_ids", "ends", "data")):
-            ids, ends, data = rows[0]  # the block itself; its answers follow by bucket
-            grams = _Grams(data.as_py(), np.array(ends.as_py(), np.int64))
-            others = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x.as_py()) for _, _, x in rows[1:])])
-            n, s = _scores(grams, others, total, backoff)
-            mean = pa.array(s / np.maximum(n, 1), mask=n == 0)
-            yield pa.record_batch([ids.values, pa.array(n, pa.int64()), pa.array(s), mean], [c.split()[0] for c in _RESULT.split(", ")])
-
-    rows = blocks.drop("n_words").unionByName(answers, allowMissingColumns=True)
-    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(score, _RESULT)
+        for _, held in _groups(batches, "block", ("n", "doc_ids", "ends", "data")):
+            _, ids, ends, data = held[0]  # the block itself; its answers follow by order and bucket
+            grams = _Grams(ends, data)
+            others = {n: np.concatenate([np.zeros(0, np.int64), *(_unpacked(x.as_py()) for k, _, _, x in held[1:] if k.as_py() == n)]) for n in range(1, ORDER + 1)}
+            found, n_words = _scores(grams, others, total, backoff), grams.words
+            mean = pa.array(found / np.maximum(n_words, 1), mask=n_words == 0)
+            yield pa.record_batch([ids.values, pa.array(n_words, pa.int64()), pa.array(found), mean], [c.split()[0] for c in _RESULT.split(", ")])
+
+    return rows.repartition("block").sortWithinPartitions("block", "n", "bucket").mapInArrow(score, _RESULT)
