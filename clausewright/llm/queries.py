@@ -45,7 +45,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    return pii.replace_pii(spark, docs)
+    return pii.replace_pii(spark, docs, pii.configured_key(spark))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
