@@ -7,7 +7,7 @@ import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,12 +21,13 @@ from .common import materialize, pick, runs
 
 CAPACITY = 4096
 END_ID = 1
-#: The program is played in rounds; each packs a sample of lengths, in their true proportions, in groups.
-ROUNDS, GROUPS, WIDTH = 6, 32, 96
-#: Configurations emptier than this are dissolved before rounding.
-LEAST_FILL = 1.0
-#: How fast the price of a length grows that keeps ending in unfilled configurations.
-ETA = 0.5
+#: The configuration program is played in two phases: how fast a covered length gets cheaper, the share of its pieces that
+#: a step covers, and the steps at most. Slow prices give the bound, fast ones the bins.
+PHASES = ((1.0, 0.02, 160), (8.0, 0.1, 400))
+#: The gap between bins and bound at which the program ends.
+GAP = 0.002
+#: Different sizes in one program, and how often it is solved anew for the pieces that rounding left.
+CLASSES, DIVES = 128, 4
 #: Pieces that one numbering group holds on average.
 GROUP_ROWS = 4096
 
@@ -113,7 +114,11 @@ def encoder(path: str) -> WordEncoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids): each document's ids and the end id, cut at the capacity."""
+    """doc_id, piece, start, length, ids_crc32 (and ids): each document's ids and the end id, cut at the capacity.
+
+    A null or empty text is the end id alone, a very long one many pieces; one text's ids are held at a time. Repeated
+    rows have pieces each. An empty table gives an empty result. Other columns are ignored.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
@@ -135,89 +140,140 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     return pick(docs, doc_id="doc_id", text="text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 
-def _knapsacks(size: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
-    """For each row: which of its items (size 0: none) make the most valuable load. Dynamic programming."""
-    groups, width = size.shape
-    best = np.zeros((groups, capacity + 1), np.float32)
-    took = np.zeros((width, groups, capacity + 1), bool)
-    for j in range(width):
-        for g in np.nonzero(size[:, j])[0]:
-            s = size[g, j]
-            with_it = best[g, : capacity + 1 - s] + value[g, j]
-            better = with_it > best[g, s:]
-            took[j, g, s:] = better
-            best[g, s:] = np.where(better, with_it, best[g, s:])
-    room, chosen, rows = np.full(groups, capacity), np.zeros(size.shape, bool), np.arange(groups)
-    for j in range(width - 1, -1, -1):
-        chosen[:, j] = took[j, rows, room]
-        room -= np.where(chosen[:, j], size[:, j], 0)
-    return chosen
-
-
-def _play(sizes: np.ndarray, prices: np.ndarray, items: np.ndarray, capacity: int) -> list[np.ndarray]:
-    """Configurations (arrays of length numbers) that pack the items, group by group: the items that stay
-    are priced again, by knapsack, until none is left."""
-    groups = -(-len(items) // WIDTH)
-    left = np.full(groups * WIDTH, -1)
-    left[: len(items)] = items
-    left = left.reshape(groups, WIDTH)
-    found = []
-    while (left >= 0).any():
-        width = int((left >= 0).sum(axis=1).max())
-        order = np.argsort(left < 0, axis=1, kind="stable")[:, :width]
-        left = np.take_along_axis(left, order, axis=1)
-        size = np.where(left >= 0, sizes[left], 0)
-        chosen = _knapsacks(size, size * prices[left], capacity)
-        found += [left[g, chosen[g]] for g in range(len(left)) if chosen[g].any()]
-        left = np.where(chosen, -1, left)
-        left = left[(left >= 0).any(axis=1)]
-    return found
-
-
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, seed: int = 3) -> tuple[dict[Pattern, float], np.ndarray]:
-    """A fractional solution of the configuration program: bins for each configuration, by multiplicative weights.
-
-    Each round draws lengths in proportion to their counts, packs the draw by knapsack pricing and adds the
-    configurations found, each with an equal part of the counts that the draw stands for. Lengths that end
-    in unfilled configurations grow dearer for the rounds to come. Work depends on the number of different
-    lengths and rounds, not on the number of pieces.
+def _knapsack(size: np.ndarray, most: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """How many of each size, `most` of them at most, make the dearest load, and its price. Dynamic programming over all
+    loads up to the capacity; a size's copies are taken by powers of two."""
+    best = np.zeros(capacity + 1)
+    items, took = [], []
+    for i, (s, m, p) in enumerate(zip(size.tolist(), most.tolist(), price.tolist(), strict=True)):
+        k = 1
+        while m > 0 and s * min(k, m) <= capacity:
+            k = min(k, m)
+            with_it = best[: capacity + 1 - s * k] + p * k
+            better = with_it > best[s * k :]
+            best[s * k :][better] = with_it[better]
+            items.append((i, k))
+            took.append(better)
+            m, k = m - k, 2 * k
+    chosen, room = np.zeros(len(size), np.int64), capacity
+    for (i, k), better in zip(reversed(items), reversed(took), strict=True):
+        if (load := int(size[i]) * k) <= room and better[room - load]:
+            chosen[i] += k
+            room -= load
+    return chosen, float(best[capacity])
+
+
+def solve(size: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> tuple[dict[tuple[int, ...], float], float, float]:
+    """The configuration program for pieces of few different sizes: bins for each configuration (copies of each size),
+    their sum, and a lower bound of any packing.
+
+    Multiplicative weights: a size is dearer the less of it is covered so far (its price is its length times
+    exp(-speed * covered share)); a knapsack over all sizes prices the best configuration, which gets bins until one of its
+    sizes is covered by a share of `pace` more. The bins, divided by the least covered share, cover all pieces. Prices divided
+    by their knapsack's value are dual and bound any packing from below, as does their mean by bins, which is the better one
+    where prices move slowly. It ends where bins and bound differ by GAP, or after the phases' steps; work does not depend on
+    the number of pieces.
     """
-    lengths = np.array(sorted(x for x in histogram if x < capacity), dtype=np.int64)
-    counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.float64)
-    x: dict[Pattern, float] = defaultdict(float)
-    weight = 1 + lengths / capacity  # long pieces are the hard ones to place
-    if histogram.get(capacity):
-        x[((capacity, 1),)] = float(histogram[capacity])
-    unit = max(1.0, counts.sum() / (GROUPS * WIDTH))
-    rng = np.random.default_rng(seed)
-    for _ in range(ROUNDS if len(lengths) else 0):
-        quota = counts / unit
-        n = np.floor(quota).astype(np.int64) + (rng.random(len(quota)) < quota % 1)
-        for chosen in _play(lengths, weight, rng.permutation(np.repeat(np.arange(len(lengths)), n)), capacity):
-            fill = lengths[chosen].sum() / capacity
-            weight[chosen] *= np.exp(ETA * (1 - fill) / ROUNDS)
-            which, times = np.unique(chosen, return_counts=True)
-            x[tuple(zip(lengths[which].tolist(), times.tolist(), strict=True))] += unit / ROUNDS
-        weight /= weight.mean()
-    return x, weight
-
-
-def round_up(x: dict[Pattern, float], histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
-    """Whole bins: well-filled configurations are rounded up while pieces last, the rest goes by best fit."""
-    left, bins = dict(histogram), []
-    for pattern, share in sorted(x.items(), key=lambda p: (-sum(a * b for a, b in p[0]), -p[1], p[0])):
-        if sum(a * b for a, b in pattern) < LEAST_FILL * capacity:
-            continue
-        n = min(max(1, round(share)), *(left[length] // times for length, times in pattern))
-        if n > 0:
-            bins.append((pattern, n))
-            for length, times in pattern:
-                left[length] -= n * times
-    return bins + _best_fit({k: n for k, n in left.items() if n}, capacity)
-
-
-def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Best fit decreasing over a histogram: like bins are handled as one entry with a count."""
+    n = counts.astype(np.float64)
+    most = np.minimum(capacity // size, counts)
+    least, bound = np.inf, float((size * n).sum() / capacity)
+    best: dict[tuple[int, ...], float] = {}
+    for speed, pace, steps in PHASES:
+        x: dict[tuple[int, ...], float] = defaultdict(float)
+        covered, mean, total = np.zeros(len(size)), np.zeros(len(size)), 0.0
+        for _ in range(steps):
+            price = size * np.exp(-speed * (covered - covered.min()))
+            chosen, value = _knapsack(size, most, price, capacity)
+            bound = max(bound, float((price * n).sum() / value))
+            at = np.flatnonzero(chosen)
+            bins = pace * (n[at] / chosen[at]).min()
+            mean += price / value * bins
+            x[tuple(chosen.tolist())] += bins
+            total += bins
+            covered[at] += bins * chosen[at] / n[at]
+            if covered.min() > 0 and total / covered.min() < least:
+                least = total / covered.min()
+                best = {k: v / covered.min() for k, v in x.items()}
+            if least <= bound * (1 + GAP):
+                return best, least, bound
+        bound = max(bound, float((mean * n).sum() / _knapsack(size, most, mean, capacity)[1]))
+    return best, least, bound
+
+
+def _classes(left: dict[int, int]) -> list[list[int]]:
+    """Classes of lengths, each the longest first: the most frequent lengths by themselves, the others in runs of like
+    area. At most CLASSES of them; up to so many different lengths have a class each."""
+    own = set(sorted(left, key=lambda x: (-left[x] * x, x))[: CLASSES if len(left) <= CLASSES else CLASSES // 2])
+    found, run, held = [[x] for x in own], [], 0
+    others = sorted((x for x in left if x not in own), reverse=True)
+    share = sum(x * left[x] for x in others) / (CLASSES - CLASSES // 2)
+    for x in others:
+        run.append(x)
+        held += x * left[x]
+        if held >= share:
+            found.append(run)
+            run, held = [], 0
+    return found + [run] * bool(run)
+
+
+def _filled(config: tuple[int, ...], n: int, classes: list[list[int]], left: dict[int, int]) -> list[tuple[Pattern, int]]:
+    """n bins of a configuration, filled with the longest pieces that are left of each class; they are taken from left."""
+    slots = []
+    for members, times in zip(classes, config, strict=True):
+        for _ in range(times):
+            wanted, ends, at = n, [], 0
+            for length in members:
+                took = min(wanted, left[length])
+                left[length] -= took
+                wanted, at = wanted - took, at + took
+                if took:
+                    ends.append((at, length))
+                if not wanted:
+                    break
+            slots.append(ends)
+    bins, at, place = [], 0, [0] * len(slots)
+    while at < n:
+        to = min(ends[k][0] for ends, k in zip(slots, place, strict=True))
+        bins.append((tuple(Counter(ends[k][1] for ends, k in zip(slots, place, strict=True)).items()), to - at))
+        place = [k + (ends[k][0] == to) for ends, k in zip(slots, place, strict=True)]
+        at = to
+    return bins
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Pattern, int]], float, float]:
+    """Bins (lengths with their numbers; how many bins), the fractional program's value and a lower bound.
+
+    Best fit decreasing is the first plan, and as good as any where it meets the pieces' area. Else the configuration
+    program is solved, its configurations are rounded down to whole bins, and it is solved anew for the pieces that are
+    left; in the end best fit puts the rest into the bins' room and into new bins. The plan with fewer bins is returned.
+    Where there are over CLASSES different lengths, the program takes classes of lengths, as long as their longest.
+    """
+    first = _best_fit(dict(histogram), capacity)
+    area = sum(x * n for x, n in histogram.items()) / capacity
+    count = lambda bins: sum(n for _, n in bins)
+    if count(first) <= np.ceil(area):
+        return first, float(count(first)), area
+    left, bins, value, bound = dict(histogram), [], np.inf, area
+    for dive in range(DIVES):
+        classes = _classes({x: n for x, n in left.items() if n})
+        size = np.array([c[0] for c in classes], np.int64)
+        config, least, low = solve(size, np.array([sum(left[x] for x in c) for c in classes], np.int64), capacity)
+        if dive == 0:
+            value, bound = least, max(bound, low) if all(len(c) == 1 for c in classes) else bound
+        done = len(bins)
+        for chosen, share in sorted(config.items(), key=lambda c: (-c[1], c[0])):
+            room = (sum(left[x] for x in members) // times for members, times in zip(classes, chosen, strict=True) if times)
+            if (n := min(int(share + 1e-9), *room)) > 0:
+                bins += _filled(chosen, n, classes, left)
+        if len(bins) == done or not any(left.values()):
+            break
+    second = _best_fit({x: n for x, n in left.items() if n}, capacity, bins)
+    best = min(first, second, key=count)
+    return best, min(value, float(count(best))), bound
+
+
+def _best_fit(left: dict[int, int], capacity: int, bins: list[tuple[Pattern, int]] = ()) -> list[tuple[Pattern, int]]:
+    """Best fit decreasing over a histogram, into given bins and new ones: like bins are one entry with a count."""
     open_bins: dict[int, list[tuple[Pattern, int]]] = {}
     rooms: list[int] = []
 
@@ -227,6 +283,8 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
             insort(rooms, room)
         open_bins[room].append((pattern, n))
 
+    for pattern, n in bins:
+        put(capacity - sum(a * b for a, b in pattern), pattern, n)
     for length in sorted(left, reverse=True):
         n = left[length]
         while n:
@@ -278,13 +336,15 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = C
     """
     pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = spark.sparkContext.broadcast(_places(round_up(solve(histogram, capacity)[0], histogram, capacity)))
-    groups = max(64, -(-max(histogram.values(), default=0) // GROUP_ROWS))
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    places = spark.sparkContext.broadcast(_places(plan(histogram, capacity)[0]))
+    groups = spark.createDataFrame([(x, -(-n // GROUP_ROWS)) for x, n in sorted(histogram.items())], "length int, groups long")
+    # The pieces lie in a table, so a row has the same number each time it is read; equal rows have different ones.
+    rows = pieces.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(groups), "length")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("groups"))).drop("groups")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     firsts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
+    order = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = rows.withColumn("rank", F.row_number().over(order)).join(firsts, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("first") + F.col("rank") - 1).alias("rank"))
 

@@ -244,17 +244,40 @@ def test_packing(spark):
     assert packing.pack(spark, docs(spark, []), path).count() == 0
 
 
-def test_packing_plan_is_near_the_bound():
-    rng = np.random.default_rng(4)
-    histogram = Counter(rng.integers(1, 4096, 20000).tolist())
-    bins = packing.round_up(packing.solve(histogram)[0], histogram)
+PLANS = [  # a histogram, and the bins of the best plan known
+    ({1025: 4000, 1500: 3000, 1023: 1000, 2700: 500}, 2834),
+    ({1366: 3000, 1400: 2000, 1330: 3000, 2040: 1500, 700: 2500}, 3854),
+    ({2048: 999}, 500),
+    ({2049: 10, 2047: 10}, 10),
+    ({4096: 3, 1: 1}, 4),
+    (Counter(np.random.default_rng(4).integers(1, 4096, 20000).tolist()), None),
+    (Counter((1400 + np.random.default_rng(5).integers(0, 700, 20000)).tolist()), None),
+    ({}, 0),
+]
+
+
+@pytest.mark.parametrize(("histogram", "known"), PLANS)
+def test_packing_plan(histogram, known):
+    bins, value, bound = packing.plan(histogram)
     used = Counter()
     for pattern, n in bins:
-        assert sum(a * b for a, b in pattern) <= 4096
+        assert n > 0 and sum(a * b for a, b in pattern) <= 4096
         for length, times in pattern:
             used[length] += times * n
-    assert used == histogram
-    assert sum(n for _, n in bins) <= 1.01 * sum(n for _, n in packing._best_fit(dict(histogram), 4096))
+    found, best_fit = sum(n for _, n in bins), sum(n for _, n in packing._best_fit(dict(histogram), 4096))
+    assert used == histogram and bound - 1e-6 <= value <= found <= best_fit
+    if known is not None:
+        assert value <= known and found <= max(known + 1, 1.002 * known) and found <= max(1.02 * bound, bound + 1)
+
+
+def test_packing_knapsack():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        size, most, price = rng.integers(1, 30, 4), rng.integers(0, 4, 4), rng.random(4)
+        chosen, value = packing._knapsack(size, most, price, 40)
+        loads = [k for k in itertools.product(*(range(m + 1) for m in most)) if np.dot(k, size) <= 40]
+        assert value == pytest.approx(max(np.dot(k, price) for k in loads)) == pytest.approx(chosen @ price)
+        assert (chosen <= most).all() and chosen @ size <= 40
 
 
 def test_pii(spark):
