@@ -16,6 +16,8 @@ from .common import flat, materialize, pick, runs
 SHINGLE = 3
 BITS = 2
 SEED = 42
+#: Postings of at most so many members compare all that meet.
+SMALL = 200
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -74,9 +76,6 @@ def _posting_links(fps: np.ndarray, mask: int, bits: int, near: np.ndarray) -> t
     bytes differ. A posting holds at most 2^(8 * bits) fingerprints, and each looks up its few possible
     neighbours in a table of the open bytes, so the work follows the posting's size, not its square.
     """
-    if len(fps) == 2:
-        ok = np.bitwise_count(fps[0] ^ fps[1]) <= bits
-        return (fps[1:], fps[:1]) if ok else (fps[:0], fps[:0])
     rest = _open(fps, mask, bits)
     table = np.full(1 << 8 * bits, -1, dtype=np.int64)
     table[rest] = np.arange(len(fps))
@@ -101,12 +100,41 @@ def _posting_links(fps: np.ndarray, mask: int, bits: int, near: np.ndarray) -> t
     return fps[moved], fps[root[moved]]
 
 
+def _tally(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of byte positions in which fingerprints are equal."""
+    changed = x ^ y
+    return sum((changed >> np.uint64(8 * p) & np.uint64(0xFF) == 0).astype(np.int8) for p in range(8))
+
+
+def _small_links(fps: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within postings of at most SMALL members: the pairs that meet are tallied by their shared bytes, those that reach
+    the guaranteed minimum are verified by their differing bits."""
+    size = np.diff(bounds)
+    keep = np.flatnonzero((size > 1) & (size <= SMALL))
+    first, many = np.repeat(bounds[keep], size[keep]), np.repeat(size[keep], size[keep])
+    at = first + np.arange(len(first)) - np.repeat(np.cumsum(size[keep]) - size[keep], size[keep])
+    left, right = [fps[:0]], [fps[:0]]
+    for step in range(1, int(many.max(initial=1))):
+        rest = at - first >= step
+        if not rest.any():
+            break
+        x, y = fps[at[rest]], fps[at[rest] - step]
+        met = _tally(x, y) >= 8 - bits
+        ok = met & (np.bitwise_count(x ^ y) <= bits)
+        left.append(x[ok])
+        right.append(y[ok])
+        at, first = at[rest], first[rest]
+    return np.concatenate(left), np.concatenate(right)
+
+
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Verified links between different fingerprints (column fp, distinct): a, b, with a > b as signed longs.
 
     Two fingerprints that differ in at most `bits` bits share at least 8 - bits byte positions. Postings are
-    kept for every choice of that many positions, so a pair meets in as many postings as its tally of
-    shared bytes allows and in none if the tally is below the minimum: the count filter is the key.
+    kept for every choice of that many positions: a posting of one byte would hold 1/256 of all fingerprints, and
+    its pairs could not be tallied. Pairs that meet are tallied by their shared positional bytes, retained if they reach the
+    minimum, and verified by their bits. In postings of over SMALL members, which share the minimum by their key, each
+    fingerprint looks its few possible neighbours up instead.
     """
     if not 1 <= bits <= 2:
         raise ValueError("bits must be 1 or 2: beyond, a posting is no longer bounded")
@@ -122,14 +150,15 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
         def found(choice, shared, fp):
             bounds = cut(choice, shared, fp)
             size = np.diff(bounds)
-            out = []
-            for i in np.nonzero(size > 1)[0]:
+            x, y = _small_links(fp.view(np.uint64), bounds, bits)
+            out = [(x.view(np.int64), y.view(np.int64))]
+            for i in np.nonzero(size > SMALL)[0]:
                 run = fp[bounds[i] : bounds[i + 1]].view(np.uint64)
                 x, y = _posting_links(run, masks[choice[bounds[i]]], bits, near)
                 if len(x):
                     out.append((x.view(np.int64), y.view(np.int64)))
-            if out:
-                x, y = (np.concatenate(s) for s in zip(*out, strict=True))
+            x, y = (np.concatenate(s) for s in zip(*out, strict=True))
+            if len(x):
                 yield pa.record_batch([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
         held = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
@@ -202,7 +231,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, bits:
     """One document of each component, with all its columns: the one with the least doc_id, nulls last.
 
     A row is found again by doc_id and text, so rows that share a doc_id but not the text are judged each
-    by itself, and of rows that repeat both one stays.
+    by itself, and of rows that repeat both one stays. Null, empty and blank texts are copies of each other. An empty table
+    gives an empty result, and other columns stay, whatever their names.
     """
     return keep_first(docs, *_grouped(docs, shingle, bits))
 
