@@ -135,14 +135,18 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 def digests(parts: DataFrame) -> DataFrame:
     """What the rendered text says when read back, a row per conversation: n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars. parts is render()'s result as it comes: a conversation's parts follow each
+    loss_sha256, formatted_chars. A null conv_id is a conversation like any other; no parts give no rows; a conversation of
+    any length is read part by part. parts is render()'s result as it comes: a conversation's parts follow each
     other within a partition, so nothing is moved again and hashes advance part by part."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        conv, turns, loss, n, n_loss, chars = None, None, None, 0, 0, 0
+        conv, turns, loss, n, n_loss, chars, last = None, None, None, 0, 0, 0, -1
         for batch in batches:
             for key, part, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part and (key != conv or part != last + 1):
+                    raise ValueError("a conversation's parts are out of order: read render()'s result as it comes, or sort by conv_id and part")
+                last = part
                 if part == 0:
                     if turns is not None:
                         rows.append((conv, n, turns.hexdigest(), n_loss, loss.hexdigest(), chars))

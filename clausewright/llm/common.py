@@ -111,7 +111,8 @@ def runs(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = RUN
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, worst: Callable, where: Column | None = None) -> list[Row]:
-    """About `rows` labelled texts (text, label) of 1 to `chars` characters for a fit on the driver.
+    """About `rows` labelled texts (text, label) for a fit on the driver; empty ones are left out. Of a text of over
+    `chars` characters a window of that length is taken, at a place that a hash chooses.
 
     Rows are chosen by a hash of doc_id, under a threshold that the number of labels sets, so no more than
     about that many reach the driver at any size. Null keys and labels are left out; a key labelled more
@@ -121,7 +122,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
     marks = (marks if where is None else marks.where(where)).groupBy("doc_id").agg(worst("label").alias("label"))
     share = min(1.0, rows / max(1, marks.count()))
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = pick(docs, doc_id="doc_id", text="text").where(F.length("text").between(1, chars))
+    texts = pick(docs, doc_id="doc_id", text="text").where(F.length("text") > 0)
+    place = F.pmod(F.xxhash64("doc_id"), F.length("text") - chars + 1).cast("int") + 1
+    texts = texts.withColumn("text", F.when(F.length("text") > chars, F.substring("text", place, F.lit(chars))).otherwise(F.col("text")))
     found = texts.join(chosen, "doc_id").select("doc_id", "text", "label").collect()
     return sorted(found, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
 

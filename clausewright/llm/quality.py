@@ -16,10 +16,10 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: The verdict's threshold: the calibrated probability of low quality at which a document goes.
 REJECT_AT = 0.5
-#: Hash buckets of word n-grams (1 and 2 words) and of character n-grams (1 and 3 bytes), each.
+#: Hash buckets of word n-grams (1 and 2 words) and of character n-grams (1 and 3 code points), each.
 BUCKETS = 1 << 16
-#: The classifier is fitted on about so many labelled rows of at most so many characters, those with the
-#: lowest hashes of doc_id. Only the fit is bounded: every row of the input is scored, whole.
+#: The classifier is fitted on about so many labelled rows, those with the lowest hashes of doc_id, of longer texts on a
+#: window of so many characters. Only the fit is bounded: every row of the input is scored, whole.
 FIT_ROWS = 6000
 FIT_CHARS = 30_000
 EPOCHS = 12
@@ -77,14 +77,14 @@ def _bucket(h: np.ndarray, part: int) -> np.ndarray:
 
 
 def ngrams(text: str | None, words: Words | None = None, ids: np.ndarray | None = None) -> list[np.ndarray]:
-    """The feature buckets of a text, repeats included, in four parts: word 1- and 2-grams, bytes, byte trigrams."""
+    """The feature buckets of a text, repeats included, in four parts: word 1- and 2-grams, characters, their trigrams."""
     text = text or ""
     words = words or Words()
     ids = words.of(text) if ids is None else ids
     h = words.hashes[ids]
-    b = np.frombuffer(text.encode(), dtype=np.uint8).astype(np.uint32)
-    trigrams = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
-    return [_bucket(h, 0), _bucket(h[:-1] * np.uint32(31) + h[1:], 1), b.astype(np.int32) + 2 * BUCKETS, _bucket(trigrams, 3)]
+    c = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    trigrams = (c[:-2] * np.uint32(0x01000193) + c[1:-1]) * np.uint32(0x01000193) + c[2:]
+    return [_bucket(h, 0), _bucket(h[:-1] * np.uint32(31) + h[1:], 1), _bucket(c, 2), _bucket(trigrams, 3)]
 
 
 @dataclass
@@ -196,6 +196,7 @@ def assess(spark: SparkSession, docs: DataFrame, model: QualityModel, reject_at:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, model: QualityModel, reject_at: float = REJECT_AT) -> DataFrame:
-    """The documents that are kept, with all their columns, decided where they lie."""
+    """The documents that are kept, with all their columns, decided where they lie. Null and empty texts go, rows that
+    repeat are judged alike, an empty table stays empty; a text of any length is judged as a whole, in its batch."""
     shared = spark.sparkContext.broadcast(model)
     return keep_rows(docs, "text", lambda texts: _judge(texts, shared.value, reject_at)[2].tolist())

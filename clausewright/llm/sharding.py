@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick
+from .common import materialize, pick
 
 SHARDS = 24
 #: Rows that one slot-numbering group holds on average.
@@ -40,19 +40,21 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", te
     like any value, so all such rows share a shard. Rows that repeat go to the same shard, each with a
     slot of its own. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = pick(docs, **{"doc_id": key, "text": text})
-    groups = max(64, -(-rows.count() // (shards * GROUP_ROWS)))
-    rows = rows.select(
+    rows = pick(docs, **{"doc_id": key, "text": text}).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD).alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         jump_shard(F.col("doc_id"), shards).alias("shard"),
     )
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(groups)).cast("int"))
+    # Written once, so that a row has the same number each time it is read; rows that are equal throughout differ by it.
+    rows = materialize(rows, "shards")
+    groups = max(64, -(-rows.count() // (shards * GROUP_ROWS)))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("row"))
     placed = rows.withColumn("rank", rank).join(firsts, ["shard", "bucket"])
     grown = F.when(_jump(F.col("doc_id"), F.col("shard")) == shards, F.lit(shards)).otherwise(F.col("shard"))
     return placed.select(

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import Words, labelled_sample, pick, runs
 
-#: The field is fitted on about so many labelled rows of at most so many characters. Only the fit is
-#: bounded: every row of the input is scored, whole.
+#: The field is fitted on about so many labelled rows, of longer texts on a window of so many characters. Only the fit
+#: is bounded: every row of the input is scored, whole.
 FIT_ROWS = 6000
 FIT_CHARS = 20_000
-#: A word of a toxic document counts as a toxic token if it occurs in at least so many toxic documents of
-#: the fit, unlike ones, and at least this share of the documents with it is toxic.
-LEAST_DOCS, LEAST_SHARE = 5, 0.8
+#: Token labels are distant supervision, as documents alone are labelled. A word counts as a toxic token if at least this
+#: share of the fit's documents with it (unlike ones) is toxic, and if that would be chance, over all words, less often than
+#: this. Where no word is that sure, the FEW surest of those in two toxic documents or more are taken.
+LEAST_SHARE, CHANCE, FEW = 0.8, 0.05, 10
 #: Training sequences: windows of so many words, and so many windows without a toxic token for one with.
 WINDOW, CLEAN_WINDOWS = 48, 3
 EPOCHS = 60
@@ -41,8 +43,9 @@ def held_out(key: Column) -> Column:
 
 
 def _features(word: bytes) -> tuple[int, int, int, int, int]:
-    """Weights of a token: itself, its first and last three bytes; and what it says of its neighbours."""
-    parts = (b"w" + word, b"p" + word[:3], b"s" + word[-3:], b"<" + word, b">" + word)
+    """Weights of a token: itself, its first and last three characters; and what it says of its neighbours."""
+    said = word.decode()
+    parts = (b"w" + word, b"p" + said[:3].encode(), b"s" + said[-3:].encode(), b"<" + word, b">" + word)
     return tuple(zlib.crc32(p) % HASHES for p in parts)
 
 
@@ -233,6 +236,18 @@ def _fit_aggregate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return a
 
 
+def _lexicon(seen: Counter, bad: Counter, rate: float) -> set[bytes]:
+    """The toxic words: a binomial test of each word's toxic documents against the rate of all, Bonferroni's way."""
+
+    def chance(w: bytes) -> float:
+        n, k = seen[w], bad[w]
+        return sum(comb(n, j) * rate**j * (1 - rate) ** (n - j) for j in range(k, n + 1))
+
+    tested = {w: chance(w) for w, k in bad.items() if k >= 2 and k >= LEAST_SHARE * seen[w] and rate < 1}
+    sure = {w for w, p in tested.items() if p * len(bad) < CHANCE}
+    return sure or set(sorted(tested, key=lambda w: (tested[w], w))[:FEW])
+
+
 def fit(texts: list[list[bytes]], toxic: np.ndarray, seed: int = 5) -> ToxicityModel:
     """Token labels from document labels, the field on the tokens, the aggregation on the documents."""
     keep = _unlike(texts)
@@ -242,7 +257,7 @@ def fit(texts: list[list[bytes]], toxic: np.ndarray, seed: int = 5) -> ToxicityM
         seen.update(set(t))
         if y:
             bad.update(set(t))
-    lexicon = {w for w, n in bad.items() if n >= LEAST_DOCS and n >= LEAST_SHARE * seen[w]}
+    lexicon = _lexicon(seen, bad, float(toxic.mean()) if len(texts) else 0.0)
     none = ToxicityModel(np.zeros(HASHES), np.zeros(2), np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -3.0]))
     if not texts or len(set(toxic.tolist())) < 2 or not lexicon:
         return none
@@ -253,7 +268,8 @@ def fit(texts: list[list[bytes]], toxic: np.ndarray, seed: int = 5) -> ToxicityM
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Fit on rows that are not held out. Rows with a null label or key are left out; a key labelled several
-    times counts as toxic if any label says so. With one class alone, every score is low."""
+    times counts as toxic if any label says so. With one class alone, or if no word occurs in two toxic documents, every
+    score is low."""
     sample = labelled_sample(docs, labels, "toxic", fit_rows, FIT_CHARS, worst=F.max, where=~held_out(F.col("doc_id")))
     return fit([tokens(r.text) for r in sample], np.array([int(r.label == 1) for r in sample], dtype=np.int64))
 
