@@ -10,6 +10,7 @@ from ..functions.numbers import chain, compare
 from ..functions.text import normal_key
 
 c = F.col
+SALTS = 64
 # What missing a level of a rule means.
 LEVELS = {"minimum": "BREACH", "buffer": "BUFFER_SHORTFALL", "target": "TARGET_SHORTFALL"}
 
@@ -53,12 +54,35 @@ def quoted(document: Column, quote: Column, figure: Column) -> Column:
     return squash(document).contains(squash(quote)) & quote.contains(figure)
 
 
+def tier_threshold(size: Column, tiers: list[tuple[float, float]], above: float) -> Column:
+    """The threshold of the first tier whose upper bound a size is below."""
+    return chain([(size < bound, F.lit(threshold)) for bound, threshold in tiers], F.lit(above))
+
+
+def glide_threshold(step: Column, path: list[tuple[int, float]], after: float) -> Column:
+    """The threshold that a glide path allows at its steps; after them the whole one holds."""
+    return chain([(step == at, F.lit(threshold)) for at, threshold in path], F.lit(after))
+
+
+def tiered_status(value: Column, threshold: Column, glide: Column) -> Column:
+    """PASS, ON_GLIDE_PATH where only the path's threshold is met, else BREACH."""
+    return chain([(value >= threshold, F.lit("PASS")), (value >= glide, F.lit("ON_GLIDE_PATH"))], F.lit("BREACH"))
+
+
 def best_candidates(candidates: DataFrame, keys: list[str], value: str, score: str, place: str) -> DataFrame:
-    """The best candidate of each key with how many agree with it and up to four other values."""
-    w = Window.partitionBy(*keys)
-    rows = candidates.withColumn("agree", F.count(F.lit(1)).over(Window.partitionBy(*keys, value))).withColumn("others", F.slice(F.array_sort(F.collect_set(value).over(w)), 1, 5))
-    rank = F.row_number().over(w.orderBy(c(score).desc(), place, value))
-    return rows.withColumn("_r", rank).where("_r = 1").select(*keys, value, "agree", F.slice(F.array_except("others", F.array(value)), 1, 4).alias("alternatives"))
+    """The best candidate of each key (the highest score, then the first place) with how many agree with it and up to four
+    other values, the best of them first.
+
+    Values are combined before the shuffle, and each of SALTS parts of a key keeps its five best, so that no task orders all
+    values of a frequent key.
+    """
+    order = F.struct((-c(score)).alias("s"), c(place).alias("p"), c(value).alias("v"))
+    values = candidates.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("agree"), F.min(order).alias("o"))
+    salted = values.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    few = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy("o"))).where("_r <= 5")
+    best = few.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("o"))).where("_r <= 5")
+    held = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", value, "agree"))).alias("b"))
+    return held.select(*keys, c("b")[0][value].alias(value), c("b")[0]["agree"].alias("agree"), F.transform(F.slice("b", 2, 4), lambda x: x[value]).alias("alternatives"))
 
 
 def schedules(rows: DataFrame, key: str, text: str) -> DataFrame:

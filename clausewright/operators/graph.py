@@ -231,3 +231,37 @@ def restricted_parties(edges: DataFrame, entities: DataFrame, self_id: int) -> D
     known = entities.select(c("entity_id").alias("p"))
     every = persons.unionByName(firms).where(c("p") != self_id).join(known, "p", "left_semi")
     return every.groupBy(c("p").alias("entity_id")).agg(F.min_by(F.struct("reason", "hops"), F.struct("hops", "reason")).alias("x")).select("entity_id", "x.reason", "x.hops")
+
+
+def capital_base(base: Column, tier1: Column, tier2: Column, owned: Column, paid_up: Column) -> Column:
+    """The capital that a limit is measured by; null where the base is unknown or its figure missing."""
+    return chain(
+        [
+            (base == "tier1", tier1),
+            (base == "capital_funds", tier1 + F.coalesce(tier2, F.lit(0))),
+            (base == "owned_funds", owned),
+            (base.isin("paid_up_capital_reserves", "capital_fund_rcb"), paid_up),
+        ],
+        F.lit(None).cast("double"),
+    )
+
+
+def provisional_only(with_flagged: DataFrame, confirmed: DataFrame, members: str = "members") -> DataFrame:
+    """Groups that exist only with flagged links: those whose sorted members are no confirmed group's."""
+    return with_flagged.join(confirmed.select(members).distinct(), members, "left_anti")
+
+
+def related_party_verdicts(hits: DataFrame) -> DataFrame:
+    """A verdict for each related party with an exposure: PROHIBITED, or NEEDS_REVIEW where the rule is not verified, the
+    relation is flagged only, or an exception is claimed; and the hops of the shortest path that counts.
+
+    hits: party, exposure, hops, verified, flagged_only, exception, a row for each path.
+    """
+    sums = hits.where("exposure > 0").groupBy("party").agg(
+        F.bool_and("verified").alias("verified"),
+        F.bool_and("flagged_only").alias("provisional"),
+        F.max("exception").alias("exception"),
+        F.coalesce(F.min(F.when(~F.col("flagged_only"), F.col("hops"))), F.min("hops")).alias("hops"),
+    )
+    review = ~F.col("verified") | F.col("provisional") | F.col("exception").isNotNull()
+    return sums.withColumn("status", F.when(review, "NEEDS_REVIEW").otherwise("PROHIBITED"))

@@ -11,6 +11,8 @@ from ..functions.numbers import chain
 c = F.col
 #: BM25's constants, the fusion constant and the boosts.
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Queries of a vector search that are broadcast at once.
+QUERY_BLOCK = 1000
 BOOSTS = {"named_category": 1.6, "other_category": 0.75, "definition": 1.5, "requirement": 1.25, "boilerplate": 0.55}
 
 
@@ -54,14 +56,20 @@ def dot(a: Column, b: Column) -> Column:
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, key, score: the k nearest other vectors of each query, exactly, the first of equals first.
 
-    The stated queries go to every partition of the vectors, in one pass; each partition keeps its k best for
-    each query before anything is shuffled.
+    The stated queries go to every partition of the vectors in blocks of about QUERY_BLOCK, a pass for each block; each
+    partition keeps its k best for each query before anything is shuffled.
     """
-    asked = queries.agg(F.collect_list(F.struct(c(key).alias("query_id"), c(vector).alias("q"))).alias("asked"))
-    pairs = vectors.join(F.broadcast(asked)).select(c(key), c(vector), F.explode("asked").alias("a")).where(c("a.query_id") != c(key))
-    scored = pairs.select("a.query_id", key, F.round(dot(c("a.q"), c(vector)), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(c("score").desc(), key))
-    return scored.withColumn("_rank", rank).where(c("_rank") <= k).drop("_rank")
+    asked = queries.select(c(key).alias("query_id"), c(vector).alias("q"))
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    found = None
+    for block in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        pairs = vectors.select(key, vector).crossJoin(F.broadcast(part)).where(c("query_id") != c(key))
+        scored = pairs.select("query_id", key, F.round(dot(c("q"), c(vector)), 9).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(c("score").desc(), key))
+        best = scored.withColumn("_rank", rank).where(c("_rank") <= k).drop("_rank")
+        found = best if found is None else found.union(best)
+    return found
 
 
 def ranked(scores: DataFrame, question: str, key: str, score: str = "score") -> DataFrame:

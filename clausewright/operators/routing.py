@@ -57,6 +57,15 @@ def route_fixed(rule_type: Column) -> Column:
     return F.when(rule_type.isin("A", "B", "C", "D", "G"), "DETERMINISTIC").otherwise("RAG_LLM")
 
 
+def gated(evidence: Column, least: Column, applicable: Column, conflict: Column, total: dict[str, Column]) -> Column:
+    """The route: none without evidence, a human below the evidence needed, the rule engine where it surely fits, else the
+    cheapest, the earlier one of equals."""
+    cheapest = F.least(*total.values())
+    by_cost = chain([(cost == cheapest, F.lit(name)) for name, cost in total.items()], F.lit(None).cast("string"))
+    sure = applicable & (evidence == 1) & ~conflict
+    return F.when(evidence == 0, F.lit(None).cast("string")).when(evidence < least, "HUMAN").when(sure, "DETERMINISTIC").otherwise(by_cost)
+
+
 def oracle_route(correct: dict[str, Column]) -> Column:
     """The cheapest route that would be right, a human otherwise."""
     return chain([(correct["DETERMINISTIC"], F.lit("DETERMINISTIC")), (correct["RAG_LLM"], F.lit("RAG_LLM"))], F.lit("HUMAN"))

@@ -33,13 +33,15 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def version_in_force(facts: DataFrame, versions: DataFrame, key: str, on: str, effective: str, value: str) -> DataFrame:
     """Each fact with the value of the last version that took effect on or before its date; null before the first.
 
-    One shuffle by the key: versions and facts are sorted together and the last version is carried on.
+    Versions are carried on over the different dates of a key alone, which combine before the shuffle, and the facts are
+    joined to their date: a key that a third of the facts share is no task's burden.
     """
-    v = versions.select(F.col(key), F.col(effective).alias("_at"), F.lit(0).alias("_turn"), F.struct(F.col(effective).alias("effective"), F.col(value).alias("value")).alias("_version"), F.lit(None).cast(facts.select(F.struct("*")).schema[0].dataType).alias("_fact"))
-    f = facts.select(F.col(key), F.col(on).alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast(v.schema["_version"].dataType).alias("_version"), F.struct("*").alias("_fact"))
-    seen = Window.partitionBy(key).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
-    carried = v.unionByName(f).withColumn("_version", F.last("_version", ignorenulls=True).over(seen))
-    return carried.where("_turn = 1").select("_fact.*", F.col("_version.effective").alias(effective), F.col("_version.value").alias(value))
+    v = versions.select(F.col(key).alias("_key"), F.col(effective).alias("_at"), F.lit(0).alias("_turn"), F.struct(F.col(effective).alias("effective"), F.col(value).alias("value")).alias("_version"))
+    days = facts.select(F.col(key).alias("_key"), F.col(on).alias("_at")).distinct().select("_key", "_at", F.lit(1).alias("_turn"), F.lit(None).cast(v.schema["_version"].dataType).alias("_version"))
+    seen = Window.partitionBy("_key").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    carried = v.unionByName(days).withColumn("_version", F.last("_version", ignorenulls=True).over(seen)).where("_turn = 1")
+    found = facts.join(carried.select("_key", "_at", "_version"), (F.col(key) == F.col("_key")) & (F.col(on) == F.col("_at")), "left")
+    return found.select(*facts.columns, F.col("_version.effective").alias(effective), F.col("_version.value").alias(value))
 
 
 def trend_anomalies(history: DataFrame, keys: list[str], order: list[Column], value: str, window: int = 8) -> DataFrame:

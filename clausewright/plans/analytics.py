@@ -320,13 +320,6 @@ def _(t):
     return T.sliding_windows(t.a_chunks, "chunk_id", "text", 800, 200).groupBy("chunk_id").agg(one().alias("n"))
 
 
-@query("s14_vector_integrity", "SELECT e.vec_id, d.doc_id IS NOT NULL AND len(e.embedding) = 64 AS usable FROM {embeddings} e LEFT JOIN {documents} d ON d.doc_id = e.vec_id")
-def _(t):
-    chunks = t.documents.select(c("doc_id").alias("vec_id"), F.sha1("text").alias("now"))
-    stored = t.embeddings.join(t.documents.select(c("doc_id").alias("vec_id"), F.sha1("text").alias("then")), "vec_id", "left")
-    return stored.join(chunks, "vec_id", "left").select("vec_id", F.coalesce((c("then") == c("now")) & (F.size("embedding") == 64), F.lit(False)).alias("usable"))
-
-
 # --- routing ---------------------------------------------------------------------------------------------------
 
 #: Parameters of the cost model, in dollars and milliseconds.
@@ -353,15 +346,25 @@ def _(t):
     return t.a_cases.select("case_id", M.retrieval_agreement((c("cost") % 100) / 100.0, (c("cost") % 37) / 100.0, c("cost") % 6).alias("agreement"))
 
 
+#: The points of the grid: weights of money and of time, and the evidence needed.
+_BETAS, _GAMMAS, _LEAST = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0), (0.0, 1e-4, 1e-3, 1e-2), (0.5, 0.75, 1.0)
+_GRID = "(VALUES " + ", ".join(f"({b}::DOUBLE, {g}::DOUBLE, {e}::DOUBLE)" for b in _BETAS for g in _GAMMAS for e in _LEAST) + ") g(beta, gamma, least)"
+
+
 @query("m08_grid_search", f"""
-SELECT beta, count(*) AS n, count(*) FILTER (route = 'HUMAN') AS escalated FROM (
-  SELECT beta, CASE WHEN evidence = 0 THEN NULL WHEN evidence < 0.4 THEN 'HUMAN' WHEN applicable AND evidence = 1 AND NOT conflict THEN 'DETERMINISTIC' WHEN d <= least(r, h) THEN 'DETERMINISTIC' WHEN r <= h THEN 'RAG_LLM' ELSE 'HUMAN' END AS route FROM (
-    SELECT x.*, beta, p_error_DETERMINISTIC * risk AS d, p_error_RAG_LLM * risk + beta * 0.001 AS r, p_error_HUMAN * risk + beta * 1.5 AS h FROM ({_CASE_FEATURES}) x JOIN (VALUES (0.1), (0.5), (2.0)) g(beta) ON true) y) z GROUP BY beta""")
+SELECT beta, gamma, least, n, escalated, correct >= 0.5 * n AS feasible FROM (
+  SELECT beta, gamma, least, count(*) AS n, count(*) FILTER (route = 'HUMAN') AS escalated, count(*) FILTER (route = 'HUMAN' OR (route = 'RAG_LLM' AND prompt_chars % 3 = 0) OR (route = 'DETERMINISTIC' AND prompt_chars % 2 = 0)) AS correct FROM (
+    SELECT *, CASE WHEN evidence = 0 THEN NULL WHEN evidence < least THEN 'HUMAN' WHEN applicable AND evidence = 1 AND NOT conflict THEN 'DETERMINISTIC' WHEN d <= least(r, h) THEN 'DETERMINISTIC' WHEN r <= h THEN 'RAG_LLM' ELSE 'HUMAN' END AS route FROM (
+      SELECT x.*, g.beta, g.gamma, g.least, p_error_DETERMINISTIC * risk AS d, p_error_RAG_LLM * risk + beta * 0.001 + gamma * 2.0 AS r, p_error_HUMAN * risk + beta * 1.5 + gamma * 600.0 AS h FROM ({_CASE_FEATURES}) x JOIN {_GRID} ON true) y) z GROUP BY beta, gamma, least) s""")
 def _(t):
-    costs = {**COSTS, "prompt_overhead_tokens": 0, "usd_per_1m_input": 0.0, "output_tokens": 1000, "usd_per_1m_output": 1.0, "rule_ms": 0, "llm_ms": 0, "retrieval_ms": 0, "human_ms": 0}
-    cases = t.sql(_CASE_FEATURES)
-    grid = [M.route(cases, costs, 1.0, b, 0.0, 0.4).agg(F.lit(b).alias("beta"), one().alias("n"), F.count_if(c("route") == "HUMAN").alias("escalated")) for b in (0.1, 0.5, 2.0)]
-    return grid[0].union(grid[1]).union(grid[2])
+    grid = t.spark.createDataFrame([(b, g, e) for b in _BETAS for g in _GAMMAS for e in _LEAST], "beta double, gamma double, least double")
+    cases = t.sql(_CASE_FEATURES).groupBy("evidence", "applicable", "conflict", "risk", "p_error_DETERMINISTIC", "p_error_RAG_LLM", "p_error_HUMAN", (c("prompt_chars") % 6).alias("k")).agg(one().alias("m"))
+    total = {"d": c("p_error_DETERMINISTIC") * c("risk"), "r": c("p_error_RAG_LLM") * c("risk") + c("beta") * 0.001 + c("gamma") * 2.0, "h": c("p_error_HUMAN") * c("risk") + c("beta") * 1.5 + c("gamma") * 600.0}
+    costs = cases.crossJoin(F.broadcast(grid)).withColumns(total)
+    route = M.gated(c("evidence"), c("least"), c("applicable"), c("conflict"), {"DETERMINISTIC": c("d"), "RAG_LLM": c("r"), "HUMAN": c("h")})
+    correct = (c("route") == "HUMAN") | ((c("route") == "RAG_LLM") & (c("k") % 3 == 0)) | ((c("route") == "DETERMINISTIC") & (c("k") % 2 == 0))
+    sums = costs.withColumn("route", route).groupBy("beta", "gamma", "least").agg(F.sum("m").alias("n"), F.sum(F.when(c("route") == "HUMAN", c("m")).otherwise(0)).alias("escalated"), F.sum(F.when(correct, c("m")).otherwise(0)).alias("correct"))
+    return sums.select("beta", "gamma", "least", "n", "escalated", (c("correct") >= 0.5 * c("n")).alias("feasible"))
 
 
 @query("m11_oracle_route", "SELECT route, count(*) AS n FROM (SELECT CASE WHEN cost % 2 = 0 THEN 'DETERMINISTIC' WHEN cost % 3 = 0 THEN 'RAG_LLM' ELSE 'HUMAN' END AS route FROM {a_cases}) x GROUP BY route")
@@ -372,7 +375,7 @@ def _(t):
 @query("m06_logistic_model")
 def _(t):
     rows = t.a_cases.select("case_id", (c("cost") % 2).cast("double").alias("x1"), (c("cost") % 5 / 4.0).alias("x2"), (c("gold") == c("pred")).alias("y"))
-    w, b = M.fit_logistic(rows, ["x1", "x2"], "y", epochs=300)
+    w, b = M.fit_logistic(rows, ["x1", "x2"], "y")
     return rows.select("case_id", F.round(M.logistic_score(w, b, ["x1", "x2"]), 9).alias("p"))
 
 

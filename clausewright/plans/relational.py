@@ -222,9 +222,9 @@ def _(t):
     return pages.join(notes, ["doc_id", "page"]).groupBy("clause_id").agg(F.sum("k").alias("n"))
 
 
-@query("j13_theta_operator", f"SELECT rule_id, value, {_CMP} AS ok FROM {{a_rules}} JOIN {{a_submissions}} USING (rule_id) WHERE bank_id = 1")
+@query("j13_theta_operator", f"SELECT rule_id, bank_id, fy, quarter, value, {_CMP} AS ok FROM {{a_rules}} JOIN {{a_submissions}} USING (rule_id)")
 def _(t):
-    return t.a_rules.join(t.a_submissions.where("bank_id = 1"), "rule_id").select("rule_id", "value", compare(c("value"), c("operator"), c("threshold")).alias("ok"))
+    return t.a_rules.join(t.a_submissions, "rule_id").select("rule_id", "bank_id", "fy", "quarter", "value", compare(c("value"), c("operator"), c("threshold")).alias("ok"))
 
 
 _CARRY = "SELECT o.rule_id AS old_id, n.rule_id AS new_id, count(*) OVER (PARTITION BY o.rule_id) AS k FROM {a_rules} o JOIN {a_rules} n ON o.operator = n.operator AND o.threshold = n.threshold AND o.unit = n.unit AND o.brand = n.brand"
@@ -466,11 +466,11 @@ def _(t):
 # --- sorts and limits ------------------------------------------------------------------------------------------
 
 
-@query("o01_vector_top_k", "SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS score FROM {embeddings} q JOIN {embeddings} e ON q.vec_id <> e.vec_id WHERE q.vec_id < 10 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) <= 5")
+@query("o01_vector_top_k", "SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS score FROM {embeddings} q JOIN {embeddings} e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) <= 5")
 def _(t):
     from ..operators.retrieval import vector_top_k
 
-    return vector_top_k(t.embeddings.where("vec_id < 10"), t.embeddings, 5)
+    return vector_top_k(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, 5)
 
 
 @query("o04_page", "SELECT rule_id, count(*) OVER () AS total FROM {a_rules} ORDER BY rule_id LIMIT 25 OFFSET 50")
@@ -479,10 +479,10 @@ def _(t):
     return t.a_rules.select("rule_id").orderBy("rule_id").offset(50).limit(25).join(F.broadcast(total))
 
 
-@query("o05_severity_order", f"SELECT rule_id, bank_id, fy, quarter, status FROM ({_CHECK}) x WHERE bank_id = 4 ORDER BY {_SEVERITY_SQL} NULLS FIRST, rule_id, fy, quarter LIMIT 30")
+@query("o05_severity_order", f"SELECT rule_id, bank_id, fy, quarter, status FROM ({_CHECK}) x ORDER BY {_SEVERITY_SQL} NULLS FIRST, rule_id, bank_id, fy, quarter")
 def _(t):
-    checked = R.check_rules(t.a_rules, t.a_submissions.where("bank_id = 4"), ["bank_id", "fy", "quarter"]).where("bank_id = 4")
-    return checked.orderBy(severity(c("status")).asc_nulls_first(), "rule_id", "fy", "quarter").limit(30).select("rule_id", "bank_id", "fy", "quarter", "status")
+    checked = R.check_rules(t.a_rules, t.a_submissions, ["bank_id", "fy", "quarter"])
+    return checked.orderBy(severity(c("status")).asc_nulls_first(), "rule_id", "bank_id", "fy", "quarter").select("rule_id", "bank_id", "fy", "quarter", "status")
 
 
 @query("o06_display_trim", "SELECT entity_id FROM {a_entities} ORDER BY CASE WHEN entity_type = 'bank' THEN 0 WHEN gold_loan THEN 1 ELSE 2 END, balance DESC, entity_id LIMIT 300")
@@ -491,10 +491,10 @@ def _(t):
     return t.a_entities.orderBy(priority, c("balance").desc(), "entity_id").limit(300).select("entity_id")
 
 
-@query("o08_report_sort", "SELECT case_id, pred FROM {a_cases} ORDER BY CASE pred WHEN 'NON_COMPLIANT' THEN 0 WHEN 'REQUIRES_HUMAN_REVIEW' THEN 1 ELSE 2 END, case_id LIMIT 60")
+@query("o08_report_sort", "SELECT case_id, pred FROM {a_cases} ORDER BY CASE pred WHEN 'NON_COMPLIANT' THEN 0 WHEN 'REQUIRES_HUMAN_REVIEW' THEN 1 ELSE 2 END, case_id")
 def _(t):
     rank = F.when(c("pred") == "NON_COMPLIANT", 0).when(c("pred") == "REQUIRES_HUMAN_REVIEW", 1).otherwise(2)
-    return t.a_cases.orderBy(rank, "case_id").limit(60).select("case_id", "pred")
+    return t.a_cases.orderBy(rank, "case_id").select("case_id", "pred")
 
 
 # --- set operations --------------------------------------------------------------------------------------------

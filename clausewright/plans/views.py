@@ -42,18 +42,17 @@ SELECT l_suppkey % 25 AS bank_id, l_partkey AS rule_id, year(l_shipdate) - CASE
        l_quantity AS value, l_shipdate AS submitted_at, l_orderkey, l_linenumber, l_suppkey
 FROM {lineitem}""",
     "a_submissions": """
-SELECT bank_id, rule_id, fy, quarter, value, submitted_at FROM (
-  SELECT *, row_number() OVER (PARTITION BY bank_id, rule_id, fy, quarter ORDER BY submitted_at DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, value DESC) AS rn FROM {a_reports}) x
-WHERE rn = 1""",
+SELECT bank_id, rule_id, fy, quarter, max_by(value, (submitted_at, l_orderkey, l_linenumber, l_suppkey, value)) AS value, max(submitted_at) AS submitted_at
+FROM {a_reports} GROUP BY bank_id, rule_id, fy, quarter""",
     "a_history": "SELECT event_id, user_id AS bank_id, event_type AS rule, value, ts AS submitted_at FROM {events}",
-    "a_mappings": "SELECT p_partkey AS rule_id, concat('label ', p_type) AS canonical_label, CASE WHEN p_partkey % 6 = 0 THEN 'approved' ELSE 'draft' END AS status FROM {part} WHERE p_partkey % 2 = 0",
+    "a_mappings": "SELECT p_partkey AS rule_id, concat('label ', p_type) AS canonical_label, CASE WHEN p_partkey % 6 = 0 THEN 'approved' ELSE 'draft' END AS status FROM {part}",
     "a_references": """
 SELECT o_orderkey AS ref_id, o_orderkey AS from_clause, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey * 7) % (SELECT count(*) FROM {orders}) END AS to_clause,
-       CASE o_orderkey % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'paragraph' ELSE 'annex' END AS ref_type FROM {orders} WHERE o_orderkey % 4 = 0""",
-    "a_footnotes": "SELECT o_orderkey AS footnote_id, o_custkey % (SELECT count(*) FROM {supplier}) AS doc_id, CAST(o_orderkey % 40 AS INT) AS page FROM {orders} WHERE o_orderkey % 9 = 0",
+       CASE o_orderkey % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'paragraph' ELSE 'annex' END AS ref_type FROM {orders}""",
+    "a_footnotes": "SELECT o_orderkey AS footnote_id, o_custkey % (SELECT count(*) FROM {supplier}) AS doc_id, CAST(o_orderkey % 40 AS INT) AS page FROM {orders}",
     "a_versions": """
 SELECT rule, effective_from, threshold FROM (
-  SELECT event_type AS rule, CAST(ts AS DATE) AS effective_from, value AS threshold, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM {events} WHERE event_id % 37 = 0) x WHERE rn = 1""",
+  SELECT event_type AS rule, CAST(ts AS DATE) AS effective_from, value AS threshold, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM {events}) x WHERE rn = 1""",
     "a_entities": """
 SELECT c_custkey AS entity_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'company' WHEN 'BUILDING' THEN 'nbfc' WHEN 'FURNITURE' THEN 'individual' WHEN 'HOUSEHOLD' THEN 'bank' ELSE 'sovereign' END AS entity_type,
        c_custkey % 10 = 0 AS gold_loan, c_acctbal AS balance FROM {customer}""",
@@ -81,6 +80,39 @@ SELECT clause_id, text FROM (VALUES
     "fx_values": """
 SELECT id, x FROM (VALUES (1, '1,23,456.5'), (2, '(45.2)'), (3, '12 per cent'), (4, '7%'), (5, 'n/a'), (6, ' 1,000 '), (7, '(3)%')) AS v(id, x)""",
     "fx_dates": "SELECT id, x FROM (VALUES (1, '2024-03-31'), (2, '31-12-2023'), (3, '5 June 2022'), (4, 'March 7, 2021'), (5, 'soon')) AS v(id, x)",
+    "fx_limits": """
+SELECT id, text FROM (VALUES
+ (1, 'The exposure to a single counterparty shall not exceed 20 per cent of the Tier 1 capital.'), (2, 'A bank shall maintain a minimum CRAR of 9 per cent.'),
+ (3, 'Complaints must be closed within 30 working days of receipt.'), (4, 'If the ratio falls below 8 per cent, the bank shall not pay dividends.'),
+ (5, 'Loans up to Rs. 50 lakh are exempt.'), (6, 'Banks shall lend up to Rs. 50 lakh to each borrower.'),
+ (7, 'Gross NPA shall be not more than 5 per cent and 7 per cent of advances respectively.'), (8, 'Investments under HTM shall not exceed twenty-five per cent of total investments.'),
+ (9, 'Minimum leverage ratio shall be 4 per cent.'), (10, 'Accounts of ₹ 5 crore or more need review.'), (11, 'No limit here.'),
+ (12, 'The bank shall have a board approved policy on outsourcing.'), (13, 'Each group of connected counterparties shall be reviewed.'), (14, 'Loans to a director or a subsidiary shall be reported quarterly.'),
+ (15, 'The bank shall maintain robust controls.')) AS v(id, text)""",
+    "fx_figures": """
+SELECT id, text FROM (VALUES
+ (1, 'CRAR was 12.5% on June 30, 2025 against 11.5 per cent'), (2, 'Q1 FY25 loss (45.2) and 1,23,456.5 crore'), (3, 'dated 30.06.2025, 30/06/2025, 30th June and T-1'),
+ (4, '-3.5 in 2024 and 2,024 and 2150'), (5, 'rows 12cr 15abc')) AS v(id, text)""",
+    "fx_lines": """
+SELECT page, line, text FROM (VALUES
+ (1, 1, 'Annual report 2024-25'), (1, 2, 'Capital adequacy ratio (CRAR) stood at 14.25% as at March 31, 2025 (previous year 13.9%)'), (1, 3, 'CRAR of peers 250%'),
+ (2, 1, 'Gross NPA ratio | 3.1% | 4.0%'), (2, 2, 'Net NPA ratio is not stated'), (3, 1, 'Net worth: ₹ 1,250.5 crore'), (3, 2, 'Net NPA 0.9 per cent'), (4, 1, 'Net worth rose to ₹ 2 lakh crore')) AS v(page, line, text)""",
+    "fx_metrics": """
+SELECT metric, label, exclude, unit, low, high, alias FROM (VALUES
+ ('crar', '(capital adequacy ratio|CRAR)', 'peers', '%', 0.0, 100.0, 'capital adequacy'), ('gross_npa_ratio', '(gross NPA)', 'none', '%', 0.0, 100.0, 'gnpa'),
+ ('net_npa_ratio', '(net NPA)', 'none', '%', 0.0, 100.0, 'nnpa'), ('net_worth', '(net worth)', 'none', 'crore', 0.0, 10000000.0, 'networth')) AS v(metric, label, exclude, unit, low, high, alias)""",
+    "fx_evidence": """
+SELECT id, clause, evidence, relevant FROM (VALUES
+ (1, 'The ratio shall be at least 9 per cent.', 'CRAR stood at 10.2%.', true), (2, 'The ratio shall be at least 9 per cent.', 'It moved in a range of 8 to 10 per cent.', true),
+ (3, 'Reply within 30 days.', 'Replies took 45 days.', true), (4, 'Have a policy.', 'The policy is in place.', true), (5, 'Have a policy.', 'No policy exists.', true),
+ (6, 'Have a policy.', 'The policy is under preparation.', true), (7, 'Have a policy.', 'The policy exists. It was not approved.', true), (8, 'Have a policy.', 'Weather is fine.', false),
+ (9, 'Have a policy.', 'The requirement is not applicable.', false), (10, 'Keep 4 per cent at least.', '', true)) AS v(id, clause, evidence, relevant)""",
+    "fx_glossary": "SELECT abbr, expansion FROM (VALUES ('crar', 'capital to risk-weighted assets ratio'), ('lcr', 'liquidity coverage ratio'), ('nbfc', 'non-banking financial company'), ('lab', 'local area bank')) AS v(abbr, expansion)",
+    "fx_asked": "SELECT id, text FROM (VALUES (1, 'What is the CRAR of an NBFC?'), (2, 'the crar and the lcr in a lab'), (3, 'LAB rules'), (4, 'small finance banks and LCR, LCR')) AS v(id, text)",
+    "a_vectors": "SELECT e.vec_id, e.embedding, d.doc_id, d.text, CASE WHEN e.vec_id % 7 = 0 THEN 'stale' ELSE md5(d.text) END AS stored_hash FROM {embeddings} e LEFT JOIN {documents} d ON d.doc_id = e.vec_id",
+    "a_files": """
+SELECT doc_id, concat('file', CAST(doc_id AS STRING), CASE doc_id % 9 WHEN 0 THEN '.pdf' WHEN 1 THEN '.XLSX' WHEN 2 THEN '.csv' WHEN 3 THEN '.tsv' WHEN 4 THEN '.md' WHEN 5 THEN '.html' WHEN 6 THEN '.json' WHEN 7 THEN '.docx' ELSE '' END) AS file_name,
+       doc_id % 18 = 0 AS scanned, text FROM {documents}""",
     "a_chunks": "SELECT doc_id AS chunk_id, source AS doc, lang AS category, text FROM {documents}",
     "a_questions": "SELECT item_id AS question_id, text FROM {benchmark}",
     "a_cases": """
