@@ -64,22 +64,35 @@ def limit_operator(x: Column) -> Column:
     )
 
 
-def clause_role(x: Column) -> Column:
-    """What a clause does."""
+# Wording of duties, and of an item of definitions.
+DUTY = r"(?i)\b(?:shall|must|should|required\s+to|(?:is|are)\s+prohibited|not\s+permitted|may\s+not|(?:is|are)\s+advised\s+to|ensure|mandatory|obligat\w+|directed\s+to)\b"
+DEFINED = r"(?i)[‘'“\"][^’'”\"]{2,150}[’'”\"]\s*(?:\([^)]{1,40}\)\s*)?(?:means|shall\s+mean|includes|shall\s+include|refers?\s+to|is\s+defined)"
+
+
+def clause_role(x: Column, heading: Column | None = None) -> Column:
+    """What a clause does: the first of these that its words or its heading say."""
+    head = F.lower(F.coalesce(heading, F.lit(""))) if heading is not None else F.lit("")
+    first = F.lower(F.substring(F.trim(x), 1, 300))
     return chain(
         [
-            (x.rlike(r"(?i)\bdeleted\b|^\s*\[?omitted"), F.lit("deleted")),
-            (x.rlike(r"(?i)[\"“'][^\"”']+[\"”']\s+(?:means|shall mean)\b"), F.lit("definition")),
-            (x.rlike(r"(?i)\b(?:shall apply|applicable) to\b"), F.lit("applicability")),
-            (x.rlike(r"(?i)\b(?:shall|must|should|may) not\b|\bprohibited\b"), F.lit("prohibition")),
-            (x.rlike(r"(?i)\b(?:shall|must|required to)\b"), F.lit("obligation")),
-            (x.rlike(r"(?i)\bmay\b|\bpermitted\b"), F.lit("permission")),
-            (x.rlike(r"(?i)\brepeal|\bcome into (?:force|effect)"), F.lit("commencement")),
+            (x.rlike(r"(?i)^[\s\[\]*.]*(?:deleted|omitted|\*{3,})?[\s\[\]*.]*$"), F.lit("deleted")),
+            (head.contains("definition") | (F.regexp_count(x, F.lit(DEFINED)) >= 2), F.lit("definition")),
+            (first.rlike(r"shall be called|come into (?:force|effect)|short title"), F.lit("short_title")),
+            (head.contains("applicab") | first.rlike(r"shall (?:be )?(?:applicable|apply) to"), F.lit("applicability")),
+            (head.contains("repeal") | first.rlike(r"stands? repealed|hereby repealed"), F.lit("repeal")),
+            (x.rlike(DUTY), F.lit("obligation")),
         ],
-        F.lit("informative"),
+        F.lit("information"),
     )
 
 
+def clause_type(x: Column, role: Column) -> Column:
+    """quantitative, relational, hybrid of the two, or qualitative."""
+    measured = x.rlike(r"(?i)[0-9]\s*(?:%|per\s*cent|days?\b|months?\b|years?\b|times\b|bps\b)|(?:₹|\bRs\.?)\s*[0-9]|\bratio\b") & (role != "deleted")
+    related = x.rlike(r"(?i)connected counterpart|beneficial owner|single (?:borrower|counterparty)|group exposure|related part|subsidiary|holding company|group entities")
+    return chain([(measured & related, F.lit("hybrid")), (measured, F.lit("quantitative")), (related, F.lit("relational"))], F.lit("qualitative"))
+
+
 def cross_references(x: Column) -> Column:
     """Paragraphs and annexes that a clause points to."""
     found = lambda kind, p: F.transform(F.regexp_extract_all(x, F.lit(p), F.lit(1)), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target")))

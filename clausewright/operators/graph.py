@@ -265,3 +265,23 @@ def related_party_verdicts(hits: DataFrame) -> DataFrame:
     )
     review = ~F.col("verified") | F.col("provisional") | F.col("exception").isNotNull()
     return sums.withColumn("status", F.when(review, "NEEDS_REVIEW").otherwise("PROHIBITED"))
+
+
+def group_checks(edges: DataFrame, entities: DataFrame, exposures: DataFrame, base: float, default: float, nbfc: float) -> DataFrame:
+    """Group limits: each confirmed group with an exposure against the rule for NBFCs, if a member is one, or the default;
+    groups that exist only with flagged links are told of only where they would breach it, as POTENTIAL_BREACH."""
+    sums = aggregate_exposures(exposures, entities)
+    confirmed = connected_groups(edges, entities)
+    extra = provisional_only(connected_groups(edges, entities, include_flagged=True), confirmed)
+    groups = confirmed.withColumn("provisional", F.lit(False)).unionByName(extra.withColumn("provisional", F.lit(True)))
+    groups = _cut(groups.select("group_id", "root", "members", "provisional"), "group_checks")
+    member = groups.select("root", "provisional", F.explode("members").alias("entity_id"))
+    parts = member.join(entities.select("entity_id", "entity_type"), "entity_id").join(sums.select("entity_id", "total"), "entity_id", "left")
+    totals = parts.groupBy("root", "provisional").agg(F.sum(F.coalesce("total", F.lit(0))).alias("total"), F.bool_or(F.col("entity_type") == "nbfc").alias("has_nbfc")).where("total > 0")
+    limit = F.when(F.col("has_nbfc"), F.lit(nbfc)).otherwise(F.lit(default))
+    share = F.col("total") / base * 100
+    breach = share > limit
+    status = F.when(breach & F.col("provisional"), "POTENTIAL_BREACH").when(breach, "BREACH").otherwise("PASS")
+    checked = totals.withColumn("limit_pct", limit).withColumn("exposure_pct", round_half_up(share)).withColumn("status", status)
+    checked = checked.where(~F.col("provisional") | (F.col("status") == "POTENTIAL_BREACH"))
+    return groups.select("group_id", "root", "provisional", "members").join(checked, ["root", "provisional"])

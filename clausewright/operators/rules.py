@@ -24,6 +24,13 @@ def check_rules(rules: DataFrame, submissions: DataFrame, keys: list[str] | None
     return required.join(reported, "rule_id", "left").withColumn("status", status).withColumn("decision", decision(F.col("status")))
 
 
+def overall_verdict(checked: DataFrame, key: str, unusual: Column) -> DataFrame:
+    """BREACH if any rule is breached, ATTENTION if anything is unusual, PASS if anything passed, else INSUFFICIENT_DATA."""
+    any_of = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
+    verdict = chain([(any_of(F.col("status") == "BREACH"), F.lit("BREACH")), (any_of(unusual), F.lit("ATTENTION")), (any_of(F.col("status") == "PASS"), F.lit("PASS"))], F.lit("INSUFFICIENT_DATA"))
+    return checked.groupBy(key).agg(verdict.alias("overall"))
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key: the upsert of a table whose rows only ever arrive."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

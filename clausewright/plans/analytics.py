@@ -212,9 +212,8 @@ def _(t):
 
 @query("a07_g13_group_limits")
 def _(t):
-    groups = G.connected_groups(t.a_edges, t.a_entities)
-    sums = G.group_exposure(groups, G.aggregate_exposures(t.a_exposures, t.a_entities)).withColumn("board_approved", F.lit(False))
-    return G.limit_check(sums, "total", _BASE, F.lit(25.0)).select("group_id", "total", "status", "exposure_pct", "headroom")
+    found = G.group_checks(t.a_edges, t.a_entities, t.a_exposures, _BASE, 25.0, 20.0)
+    return found.select("root", "provisional", "total", "limit_pct", "exposure_pct", "status")
 
 
 @query("g14_large_exposures", f"SELECT entity_id, total + exempt AS reported, 'REPORTABLE' AS status FROM ({_TOTALS}) y WHERE (total + exempt) / {_BASE} * 100 >= 10")

@@ -100,9 +100,12 @@ def _(t):
     return t.a_clauses.where((c("role") == "obligation") & c("ctype").isin("qualitative", "relational") & c("text_length").between(80, 4000)).select("clause_id")
 
 
-@query("f06_array_member", """SELECT event_id FROM {events} WHERE CAST(json_extract(props, '$.k') AS BIGINT) IN (3, 5, 7)""")
+_TAGS = "SELECT doc_id, concat('[\"c', CAST(category AS STRING), '\",\"t', CAST(topic AS STRING), '\"]') AS tags FROM {a_documents}"
+
+
+@query("f06_array_member", f"SELECT doc_id FROM ({_TAGS}) x WHERE tags LIKE '%\"t3\"%'")
 def _(t):
-    return t.events.where(F.array_contains(F.array(*[F.lit(x) for x in (3, 5, 7)]), F.get_json_object("props", "$.k").cast("int"))).select("event_id")
+    return t.sql(_TAGS).where(F.array_contains(F.from_json("tags", "array<string>"), "t3")).select("doc_id")
 
 
 @query("f07_json_path", """SELECT event_id, coalesce(json_extract_string(props, '$.mode'), 'fixed') AS mode, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM {events}""")
@@ -252,16 +255,18 @@ def _(t):
     return watch.join(docs, watch.bank_id == docs.doc_id, "left").where(~c("label").eqNullSafe("v1")).select("bank_id", "doc_id")
 
 
-@query("j20_fixed_against_routed", "SELECT f.case_id, f.pred = g.gold AS agree FROM {a_cases} f LEFT JOIN (SELECT case_id, gold FROM {a_cases} WHERE cost % 2 = 0) g USING (case_id)")
+@query("j20_fixed_against_routed", "SELECT f.case_id, f.pred IS NOT DISTINCT FROM g.gold AS agree FROM {a_cases} f LEFT JOIN (SELECT case_id, gold FROM {a_cases} WHERE cost % 2 = 0) g USING (case_id)")
 def _(t):
-    return t.a_cases.select("case_id", "pred").join(t.a_cases.where("cost % 2 = 0").select("case_id", "gold"), "case_id", "left").select("case_id", (c("pred") == c("gold")).alias("agree"))
+    return t.a_cases.select("case_id", "pred").join(t.a_cases.where("cost % 2 = 0").select("case_id", "gold"), "case_id", "left").select("case_id", c("pred").eqNullSafe(c("gold")).alias("agree"))
 
 
 @query("j21_tolerance_join", "SELECT a.rule_id, b.rule_id AS other FROM {a_rules} a JOIN {a_rules} b ON a.brand = b.brand AND a.operator = b.operator AND abs(a.threshold - b.threshold) < 1e-9 AND a.rule_id < b.rule_id")
 def _(t):
-    a = t.a_rules.select("rule_id", "brand", "operator", "threshold")
-    b = a.select(c("rule_id").alias("other"), "brand", "operator", c("threshold").alias("near"))
-    return a.join(b, ["brand", "operator"]).where((F.abs(c("threshold") - c("near")) < 1e-9) & (c("rule_id") < c("other"))).select("rule_id", "other")
+    # Thresholds meet in buckets wider than the tolerance, or in the next one.
+    at = F.floor(c("threshold") * 1e6)
+    a = t.a_rules.select("rule_id", "brand", "operator", "threshold", at.alias("at"))
+    b = t.a_rules.select(c("rule_id").alias("other"), "brand", "operator", c("threshold").alias("near"), F.explode(F.array(at - 1, at, at + 1)).alias("at"))
+    return a.join(b, ["brand", "operator", "at"]).where((F.abs(c("threshold") - c("near")) < 1e-9) & (c("rule_id") < c("other"))).select("rule_id", "other")
 
 
 @query("j22_relaxed_operator", "SELECT a.rule_id, count(*) AS n FROM {a_rules} a JOIN {a_rules} b ON a.brand = b.brand AND replace(a.operator, '=', '') = replace(b.operator, '=', '') AND abs(a.threshold - b.threshold) <= 1e-6 GROUP BY a.rule_id")
@@ -304,6 +309,19 @@ def _(t):
     return t.a_clauses.groupBy("ctype", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("text_length").alias("chars"), F.countDistinct("doc_id").alias("docs"))
 
 
+@query("a02_six_counts", "SELECT 'documents' AS what, count(*) AS n FROM {a_documents} UNION ALL SELECT 'clauses', count(*) FILTER (NOT deleted) FROM {a_clauses} UNION ALL SELECT 'rules', count(*) FILTER (atom_kind = 'requirement') FROM {a_rules} UNION ALL SELECT 'definitions', count(*) FILTER (role = 'definition') FROM {a_clauses} UNION ALL SELECT 'references', count(*) FROM {a_references} UNION ALL SELECT 'footnotes', count(*) FROM {a_footnotes}")
+def _(t):
+    of = lambda what, rows: rows.agg(F.lit(what).alias("what"), F.count(F.lit(1)).alias("n"))
+    parts = [of("documents", t.a_documents), of("clauses", t.a_clauses.where("NOT deleted")), of("rules", t.a_rules.where("atom_kind = 'requirement'")), of("definitions", t.a_clauses.where("role = 'definition'")), of("references", t.a_references), of("footnotes", t.a_footnotes)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4]).union(parts[5])
+
+
+@query("a12_overall_verdict", f"SELECT bank_id, CASE WHEN bool_or(status = 'BREACH') THEN 'BREACH' WHEN bool_or(flag <> 'none') THEN 'ATTENTION' WHEN bool_or(status = 'PASS') THEN 'PASS' ELSE 'INSUFFICIENT_DATA' END AS overall FROM (SELECT bank_id, status, CASE WHEN rule_id % 50 = 7 THEN 'unusual' ELSE 'none' END AS flag FROM ({_CHECK}) x WHERE bank_id IS NOT NULL AND NOT (bank_id % 2 = 0 AND status = 'BREACH') AND NOT (bank_id % 4 = 0 AND rule_id % 50 = 7)) y GROUP BY bank_id")
+def _(t):
+    checked = R.check_rules(t.a_rules, t.a_submissions, ["bank_id"]).where("bank_id IS NOT NULL AND NOT (bank_id % 2 = 0 AND status = 'BREACH') AND NOT (bank_id % 4 = 0 AND rule_id % 50 = 7)")
+    return R.overall_verdict(checked, "bank_id", c("rule_id") % 50 == 7)
+
+
 @query("a03_conditional_sums", "SELECT doc_id, count(*) FILTER (role = 'obligation') AS obligations, count(*) FILTER (ctype = 'quantitative') AS quantitative FROM {a_clauses} GROUP BY doc_id")
 def _(t):
     return t.a_clauses.groupBy("doc_id").agg(F.count_if(c("role") == "obligation").alias("obligations"), F.count_if(c("ctype") == "quantitative").alias("quantitative"))
@@ -557,9 +575,12 @@ def _(t):
     return R.latest(t.a_reports, ["bank_id", "rule_id", "fy", "quarter"], order).select("bank_id", "rule_id", "fy", "quarter", "value")
 
 
-@query("s21_insert_or_ignore", "SELECT min(doc_id) AS doc_id FROM {documents} GROUP BY text")
+@query("s21_insert_or_ignore", "SELECT DISTINCT text AS evidence FROM {documents} WHERE doc_id % 3 <> 0 AND text NOT IN (SELECT text FROM {documents} WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
 def _(t):
-    return t.documents.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    from ..sources.sinks import insert_or_ignore
+
+    rows = t.documents.select("doc_id", c("text").alias("evidence")).where("evidence IS NOT NULL")
+    return insert_or_ignore(rows.where("doc_id % 3 = 0"), rows.where("doc_id % 3 <> 0"), ["evidence"]).select("evidence")
 
 
 @query("s23_cascading_delete", "SELECT from_entity, to_entity, CASE WHEN to_entity % 50 = 0 THEN NULL ELSE to_entity END AS provider FROM {a_edges} WHERE from_entity % 50 <> 0")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..functions import wording as W
 from ..operators import retrieval as T
 from .registry import query
 
@@ -28,9 +29,9 @@ def _(t):
     return t.fx_values.select("id", X.number(c("x")).alias("value"))
 
 
-@query("c05_crore_factor", "SELECT rule_id, CASE WHEN unit = 'crore' THEN 1.0::DOUBLE ELSE 1.0::DOUBLE END * threshold AS crores FROM {a_rules}")
+@query("c05_crore_factor", "SELECT unit, factor FROM (VALUES ('₹ crore', 1.0::DOUBLE), ('Rs. lakh', 0.01), ('USD million', 0.1), ('billion', 100.0), ('thousand', 0.0001), ('%', 1.0)) v(unit, factor)")
 def _(t):
-    return t.a_rules.select("rule_id", (X.crore_factor(c("unit")) * c("threshold")).alias("crores"))
+    return t.spark.createDataFrame([(u,) for u in ("₹ crore", "Rs. lakh", "USD million", "billion", "thousand", "%")], "unit string").select("unit", X.crore_factor(c("unit")).alias("factor"))
 
 
 _ATOM_OP = r"CASE WHEN regexp_matches(text, '(?i)\b(?:shall|should|must|may|does|do) not exceed\b|\bnot more than\b|\bmaximum of\b|\bup to\b|\bceiling of\b') THEN '<=' WHEN regexp_matches(text, '(?i)\bnot less than\b|\bminimum of\b|\bat least\b|\bnot be less than\b') THEN '>=' WHEN regexp_matches(text, '(?i)\bwithin\b.*\b(?:days?|months?|years?)\b') THEN 'within_days' WHEN regexp_matches(text, '(?i)\bless than\b|\bbelow\b') THEN '<' WHEN regexp_matches(text, '(?i)\bmore than\b|\bexceed(?:s|ing)?\b|\babove\b') THEN '>' END"
@@ -47,9 +48,11 @@ def _(t):
     return t.fx_clauses.select("clause_id", X.limit_operator(c("text")).alias("operator"), value.alias("value"), unit.alias("unit")).where("operator IS NOT NULL AND value IS NOT NULL")
 
 
-@query("c11_clause_role", r"""SELECT clause_id, CASE WHEN regexp_matches(text, '(?i)\bdeleted\b|^\s*\[?omitted') THEN 'deleted' WHEN regexp_matches(text, '(?i)"[^"]+"\s+(?:means|shall mean)\b') THEN 'definition' WHEN regexp_matches(text, '(?i)\b(?:shall apply|applicable) to\b') THEN 'applicability' WHEN regexp_matches(text, '(?i)\b(?:shall|must|should|may) not\b|\bprohibited\b') THEN 'prohibition' WHEN regexp_matches(text, '(?i)\b(?:shall|must|required to)\b') THEN 'obligation' WHEN regexp_matches(text, '(?i)\bmay\b|\bpermitted\b') THEN 'permission' WHEN regexp_matches(text, '(?i)\brepeal|\bcome into (?:force|effect)') THEN 'commencement' ELSE 'informative' END AS role FROM {fx_clauses}""")
+@query("c11_clause_role", """SELECT clause_id, role, kind FROM (VALUES (1, 'obligation', 'quantitative'), (2, 'obligation', 'quantitative'), (3, 'obligation', 'quantitative'), (4, 'information', 'quantitative'), (5, 'obligation', 'quantitative'),
+(6, 'information', 'qualitative'), (7, 'obligation', 'qualitative'), (8, 'applicability', 'qualitative'), (9, 'information', 'quantitative'), (10, 'information', 'qualitative'), (11, 'obligation', 'qualitative'), (12, 'information', 'qualitative'),
+(13, 'information', 'qualitative'), (14, 'information', 'quantitative'), (15, 'information', 'qualitative')) v(clause_id, role, kind)""")
 def _(t):
-    return t.fx_clauses.select("clause_id", X.clause_role(c("text")).alias("role"))
+    return t.fx_clauses.withColumn("role", X.clause_role(c("text"))).select("clause_id", "role", X.clause_type(c("text"), c("role")).alias("kind"))
 
 
 @query("c13_cross_references", r"SELECT clause_id, 'paragraph' AS kind, unnest(regexp_extract_all(text, '(?i)\bparagraphs?\s+([0-9]+(?:\([0-9a-z]+\))*)', 1)) AS target FROM {fx_clauses} UNION ALL SELECT clause_id, 'annex', unnest(regexp_extract_all(text, '(?i)\bannex(?:ure)?\s+([0-9IVX]+)', 1)) FROM {fx_clauses}")
@@ -109,9 +112,16 @@ def _(t):
     return t.fx_clauses.select("clause_id", X.meaning_kept(c("text"), simpler).alias("kept"))
 
 
-@query("c34_reading_grade", r"SELECT doc_id, round(CASE WHEN w > 0 THEN 0.39 * w / CAST(s AS DOUBLE) + 11.8 * v / CAST(w AS DOUBLE) - 15.59 END, 6) AS grade FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS v FROM {documents}) x")
+_SYLLABLE = "CASE WHEN length(w) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(regexp_replace(w, '([^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', ''), '[aeiouy][aeiouy]?'))) END"
+
+
+@query("c34_reading_grade", rf"""
+SELECT doc_id, round(CASE WHEN n > 0 AND s > 0 THEN 0.39 * n / s + 11.8 * total / n - 15.59 END, 6) AS grade FROM (
+  SELECT doc_id, CAST(len(ws) AS DOUBLE) AS n, CAST(len(list_filter(regexp_split_to_array(text, '[.!?;:]+(\s|$)'), lambda x: regexp_matches(x, '[A-Za-z]'))) AS DOUBLE) AS s,
+         CAST(list_sum(list_transform(list_transform(ws, lambda w: regexp_replace(lower(w), '[^a-z]', '', 'g')), lambda w: {_SYLLABLE})) AS DOUBLE) AS total
+  FROM (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*') AS ws FROM {{documents}}) x) y""")
 def _(t):
-    return t.documents.select("doc_id", F.round(X.reading_grade(c("text")), 6).alias("grade"))
+    return t.documents.select("doc_id", F.round(W.reading_grade(c("text")), 6).alias("grade"))
 
 
 @query("c35_hash_split", "SELECT rule_id, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'dev' ELSE 'test' END AS split FROM (SELECT rule_id, CAST(concat('0x', substr(sha1(concat('7:', CAST(rule_id AS STRING))), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM {a_rules}) x")
@@ -162,10 +172,36 @@ def _(t):
 # --- sources and chunks ----------------------------------------------------------------------------------------
 
 
-@query("s03_running_lines", "SELECT source, line, n FROM (SELECT source, regexp_replace(string_split(text, chr(10))[1], '[0-9]+', '#', 'g') AS line, count(*) AS n FROM {documents} GROUP BY ALL) x WHERE n >= 2")
+_EDGES = "SELECT doc_id, source, regexp_replace(string_split(text, chr(10))[1], '[0-9]+', '#', 'g') AS top, regexp_replace(string_split(text, chr(10))[len(string_split(text, chr(10)))], '[0-9]+', '#', 'g') AS bottom, len(string_split(text, chr(10))) AS n FROM {documents}"
+
+
+@query("s03_running_lines", f"""
+SELECT p.doc_id, n - CASE WHEN t.k IS NULL THEN 0 ELSE 1 END - CASE WHEN b.k IS NULL OR n = 1 THEN 0 ELSE 1 END AS kept
+FROM ({_EDGES}) p JOIN (SELECT source, count(*) AS pages FROM {{documents}} GROUP BY source) s USING (source)
+LEFT JOIN (SELECT source, top AS line, count(*) AS k FROM ({_EDGES}) e GROUP BY ALL) t ON t.source = p.source AND t.line = p.top AND t.k >= 2 AND t.k >= 0.03 * pages
+LEFT JOIN (SELECT source, bottom AS line, count(*) AS k FROM ({_EDGES}) e GROUP BY ALL) b ON b.source = p.source AND b.line = p.bottom AND b.k >= 2 AND b.k >= 0.03 * pages""")
 def _(t):
-    line = F.regexp_replace(F.element_at(F.split("text", "\n"), 1), "[0-9]+", "#")
-    return t.documents.groupBy("source", line.alias("line")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    from ..operators.layout import without_running_lines
+
+    pages = t.documents.select("doc_id", "source", F.split("text", "\n").alias("lines"))
+    return without_running_lines(pages, "source", "lines", 2, 0.03).select("doc_id", F.size("lines").cast("long").alias("kept"))
+
+
+@query("s02_layout_lines", "SELECT page, said FROM (VALUES (1, 'Capital ratio | 12.5%'), (1, 'Note on terms'), (2, 'Next page')) v(page, said)")
+def _(t):
+    from ..operators.layout import layout_rows
+
+    spans = [(1, 10.0, 60.0, 100.0, "Capital"), (1, 62.0, 90.0, 100.8, "ratio"), (1, 130.0, 160.0, 99.5, "12.5%"), (1, 10.0, 30.0, 120.0, "Note"), (1, 31.0, 60.0, 120.0, "on terms"), (1, 61.0, 63.0, 120.0, "•"), (2, 10.0, 60.0, 100.0, "Next page")]
+    return layout_rows(t.spark.createDataFrame(spans, "page int, x0 double, x1 double, y double, text string"), "page", 2.8, 11.0).select("page", "said")
+
+
+@query("s04_footnotes", "SELECT line, footnote FROM (VALUES (1, false), (2, false), (3, false), (4, true), (5, true)) v(line, footnote)")
+def _(t):
+    from ..operators.layout import footnotes
+
+    lines = [(1, 1, 10.0, 100.0, "1 Scope"), (1, 2, 7.0, 300.0, "2 small print above"), (1, 3, 10.0, 500.0, "body"), (1, 4, 7.0, 700.0, "1 See the Act"), (1, 5, 7.0, 710.0, "as amended")]
+    rows = t.spark.createDataFrame(lines, "page int, line int, size double, y double, text string")
+    return footnotes(rows, "page", 10.0, 800.0).select("line", "footnote")
 
 
 @query("s09_text_pages", "SELECT doc_id, page, count(*) AS lines FROM (SELECT doc_id, (i - 1) // 20 + 1 AS page FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {documents}) x) y GROUP BY ALL")

@@ -39,3 +39,14 @@ def binary_documents(spark: SparkSession, path: str, suffix: str = "*") -> DataF
     magic = F.decode(F.substring("content", 1, 5), "ISO-8859-1")
     kind = F.when(magic.startswith("%PDF-"), "pdf").when(magic.startswith("PK"), "xlsx").otherwise(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
     return files.select("path", F.sha2("content", 256).alias("sha256"), "length", kind.alias("format"))
+
+
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV files with a header: quoted cells may hold line breaks, a byte-order mark is dropped, names are lower-cased."""
+    table = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    return table.toDF(*[n.lstrip("\ufeff").strip().strip('"').lower() for n in table.columns])
+
+
+def json_fixture(spark: SparkSession, path: str, rows: str) -> DataFrame:
+    """The rows of a JSON file that holds them as an array under a name."""
+    return spark.read.option("multiLine", True).json(path).select(F.explode(rows).alias("row")).select("row.*")

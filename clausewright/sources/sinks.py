@@ -27,13 +27,43 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
 
 def publish(df: DataFrame, base: str) -> str:
-    """Write a new version beside the old ones, then point to it; readers never see half a table."""
+    """Write a new version beside the old ones, then point to it; readers never see half a table. The pointer is a file
+    that a rename puts in place of the old one at once."""
     spark = df.sparkSession
-    version = f"{base.rstrip('/')}/v-{uuid.uuid4().hex}"
+    base = base.rstrip("/")
+    version = f"{base}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{base.rstrip('/')}/current")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+    fresh = path(f"_pointer-{uuid.uuid4().hex}")
+    out = fresh.getFileSystem(conf).create(fresh)
+    out.write(bytearray(version.encode()))
+    out.close()
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, path("current"), replace)
     return version
 
 
 def read_published(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(spark.read.text(f"{base.rstrip('/')}/current").first()[0])
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table as quoted CSV with a header, as a spreadsheet reads it."""
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def import_bundle(entities: DataFrame, edges: DataFrame, known_types: tuple[str, ...], base: str) -> DataFrame:
+    """All or nothing: publishes both tables under a folder if no row has an error; returns the errors (row, message)."""
+    entity = F.col("entity_id")
+    problems = entities.select(entity.cast("string").alias("row"), F.when(entity.isNull(), "entity without an id").when(~F.col("entity_type").isin(*known_types), "unknown entity type").alias("message"))
+    double = entities.groupBy("entity_id").count().where("count > 1").select(entity.cast("string").alias("row"), F.lit("entity id used twice").alias("message"))
+    ends = edges.select(F.explode(F.array("from_entity", "to_entity")).alias("entity_id")).join(entities, "entity_id", "left_anti")
+    loose = ends.select(entity.cast("string").alias("row"), F.lit("edge to an entity that is not there").alias("message")).distinct()
+    own = edges.where("from_entity = to_entity").select(F.col("from_entity").cast("string").alias("row"), F.lit("edge to itself").alias("message"))
+    errors = problems.where("message IS NOT NULL").union(double).union(loose).union(own)
+    if errors.isEmpty():
+        publish(entities, f"{base}/entities")
+        publish(edges, f"{base}/edges")
+    return errors

@@ -54,3 +54,32 @@ def backfill(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Our extension: counts by event-time window with a bound on lateness."""
     return stream.withWatermark(at, late).groupBy(F.window(at, width), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def check_only(stream: DataFrame, state: str, key: str, label: str, checkpoint: str) -> list[tuple]:
+    """A scheduled look: what has arrived and differs from the last label seen, without taking it in. The checkpoint is the
+    look's own, and the state stays as it is; the list is as long as the watch list."""
+    found: list[tuple] = []
+
+    def batch(rows: DataFrame, _: int) -> None:
+        fresh = latest(rows, [key], [F.col("seen_at").desc(), F.col(label)]).select(key, label)
+        known = _versions(rows.sparkSession, state, 1 << 62, rows.select(key, label, "seen_at").schema)
+        last = latest(known, [key], [F.col("_version").desc()]).select(key, F.col(label).alias("_last"))
+        found.extend(tuple(r) for r in fresh.join(last, key, "left").where(~F.col(label).eqNullSafe(F.col("_last"))).drop("_last").collect())
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return found
+
+
+def ingest_documents(stream: DataFrame, target: str, checkpoint: str, key: str, text: str) -> None:
+    """Takes new documents in one by one: each batch writes its clauses and the references found in them, as a partition that
+    a replay replaces."""
+    from ..functions.text import cross_references
+
+    def batch(rows: DataFrame, number: int) -> None:
+        clauses = rows.select(key, F.posexplode(F.split(text, r"\n+")).alias("seq", "clause")).where("trim(clause) <> ''")
+        clauses.write.mode("overwrite").parquet(f"{target}/clauses/batch={number}")
+        found = clauses.select(key, "seq", F.explode(cross_references(F.col("clause"))).alias("r")).select(key, "seq", "r.kind", "r.target")
+        found.write.mode("overwrite").parquet(f"{target}/references/batch={number}")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
