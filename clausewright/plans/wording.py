@@ -116,12 +116,12 @@ _SYLLABLE = "CASE WHEN length(w) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract
 
 
 @query("c34_reading_grade", rf"""
-SELECT doc_id, round(CASE WHEN n > 0 AND s > 0 THEN 0.39 * n / s + 11.8 * total / n - 15.59 END, 6) AS grade FROM (
+SELECT doc_id, round(CASE WHEN n > 0 AND s > 0 THEN 0.39 * n / s + 11.8 * total / n - 15.59 END, 9) AS grade FROM (
   SELECT doc_id, CAST(len(ws) AS DOUBLE) AS n, CAST(len(list_filter(regexp_split_to_array(text, '[.!?;:]+(\s|$)'), lambda x: regexp_matches(x, '[A-Za-z]'))) AS DOUBLE) AS s,
          CAST(list_sum(list_transform(list_transform(ws, lambda w: regexp_replace(lower(w), '[^a-z]', '', 'g')), lambda w: {_SYLLABLE})) AS DOUBLE) AS total
   FROM (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z][A-Za-z''\-]*') AS ws FROM {{documents}}) x) y""")
 def _(t):
-    return t.documents.select("doc_id", F.round(W.reading_grade(c("text")), 6).alias("grade"))
+    return t.documents.select("doc_id", F.round(W.reading_grade(c("text")), 9).alias("grade"))
 
 
 @query("c35_hash_split", "SELECT rule_id, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'dev' ELSE 'test' END AS split FROM (SELECT rule_id, CAST(concat('0x', substr(sha1(concat('7:', CAST(rule_id AS STRING))), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM {a_rules}) x")
