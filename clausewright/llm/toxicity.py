@@ -21,9 +21,9 @@ from .common import Words, labelled_sample, pick, runs
 FIT_ROWS = 6000
 FIT_CHARS = 20_000
 #: Token labels are distant supervision, as documents alone are labelled. A word counts as a toxic token if at least this
-#: share of the fit's documents with it (unlike ones) is toxic, and if that would be chance, over all words, less often than
-#: this. Where no word is that sure, the FEW surest of those in two toxic documents or more are taken.
-LEAST_SHARE, CHANCE, FEW = 0.8, 0.05, 10
+#: share of the fit's documents with it (unlike ones) is toxic, and if by chance alone, over all words, fewer words than
+#: this would be found. Where no word is that sure, the FEW surest of those in two toxic documents or more are taken.
+LEAST_SHARE, CHANCE, FEW = 0.8, 3.0, 10
 #: Training sequences: windows of so many words, and so many windows without a toxic token for one with.
 WINDOW, CLEAN_WINDOWS = 48, 3
 EPOCHS = 60
@@ -237,7 +237,8 @@ def _fit_aggregate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _lexicon(seen: Counter, bad: Counter, rate: float) -> set[bytes]:
-    """The toxic words: a binomial test of each word's toxic documents against the rate of all, Bonferroni's way."""
+    """The toxic words: a word counts if a binomial test, at the rate of all documents, expects fewer than
+    CHANCE words as surely toxic as it among all words of toxic documents."""
 
     def chance(w: bytes) -> float:
         n, k = seen[w], bad[w]
