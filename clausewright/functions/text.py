@@ -141,10 +141,15 @@ def packed(parts: Column, limit: int) -> Column:
 
 
 def meaning_kept(before: Column, after: Column) -> Column:
-    """A rewriting keeps all numbers, prohibitions, obligations and exceptions, and adds no number."""
-    numbers = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)))
-    same = lambda p: before.rlike(p) == after.rlike(p)
-    return (F.size(F.array_except(numbers(before), numbers(after))) == 0) & (F.size(F.array_except(numbers(after), numbers(before))) == 0) & same(r"(?i)\b(?:shall|must|may) not\b") & same(r"(?i)\b(?:shall|must)\b") & (~before.rlike(r"(?i)\b(?:except|unless|provided that)\b") | after.rlike(r"(?i)\b(?:except|unless|provided that)\b"))
+    """A rewriting keeps all numbers with their units, prohibitions, duties, exceptions and conditions, and adds no number."""
+    measured = F.lit(r"(?i)([0-9]+(?:\.[0-9]+)?(?:\s*(?:%|per cent|days?|months?|years?|crore|lakh))?)")
+    numbers = lambda t: F.array_distinct(F.transform(F.regexp_extract_all(t, measured, F.lit(1)), lambda n: F.regexp_replace(F.regexp_replace(F.lower(n), r"\s*per cent", "%"), r"\s+", "")))
+    marks = F.lit(r"\b(provided that|unless|except|subject to|other than|excluding|despite)\b")
+    exceptions = lambda t: F.regexp_extract_all(F.replace(F.lower(t), F.lit("notwithstanding"), F.lit("despite")), marks, F.lit(1))
+    forbidden, duty = r"(?i)\b(?:shall not|must not|may not|cannot|is not permitted|are not permitted|no bank shall)\b", r"(?i)\b(?:shall|must|is required to|are required to)\b"
+    same_numbers = (F.size(F.array_except(numbers(before), numbers(after))) == 0) & (F.size(F.array_except(numbers(after), numbers(before))) == 0)
+    same_force = (before.rlike(forbidden) == after.rlike(forbidden)) & (~before.rlike(duty) | after.rlike(duty) | after.rlike(forbidden))
+    return same_numbers & same_force & (F.size(F.array_except(exceptions(before), exceptions(after))) == 0)
 
 
 def reading_grade(x: Column) -> Column:

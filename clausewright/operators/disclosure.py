@@ -91,3 +91,37 @@ def schedules(rows: DataFrame, key: str, text: str) -> DataFrame:
     values, dates = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
     pairs = rows.select(key, values.alias("v"), dates.alias("d")).select(key, F.explode(F.arrays_zip("v", "d")).alias("z"))
     return pairs.select(key, c("z.d").cast("date").alias("since"), c("z.v").cast("double").alias("value"))
+
+
+#: A report's counts: name, family of results, statuses that count (none: all).
+REPORT_COUNTS = (
+    ("rules_checked", "rule", ()),
+    ("rules_passed", "rule", ("PASS", "PASS_WITH_CONDITIONS")),
+    ("breaches", "rule", ("BREACH",)),
+    ("buffer_shortfalls", "rule", ("BUFFER_SHORTFALL",)),
+    ("target_shortfalls", "rule", ("TARGET_SHORTFALL",)),
+    ("not_disclosed", "rule", ("NOT_DISCLOSED", "NOT_REPORTED")),
+    ("candidates", "rule", ("CANDIDATE",)),
+    ("items_checked", "disclosure", ()),
+    ("items_present", "disclosure", ("PRESENT",)),
+    ("items_missing", "disclosure", ("LIKELY_MISSING",)),
+    ("obligations_matched", "qualitative", ()),
+    ("obligations_covered", "qualitative", ("COVERED",)),
+    ("obligations_partial", "qualitative", ("PARTIAL",)),
+    ("network_checked", "network", ()),
+    ("network_breaches", "network", ("BREACH", "PROHIBITED")),
+    ("network_attention", "network", ("POTENTIAL_BREACH", "NEEDS_REVIEW", "ASSESSMENT_REQUIRED")),
+)
+
+
+def report_summary(results: DataFrame, key: str) -> DataFrame:
+    """The counts of a report (REPORT_COUNTS), what needs review, and the verdict: BREACH, ATTENTION, PASS where any rule had a
+    figure, else INSUFFICIENT_DATA. results: key, family, status; all in one aggregation."""
+    counted = [F.count_if((c("family") == family) & (c("status").isin(*statuses) if statuses else F.lit(True))).alias(name) for name, family, statuses in REPORT_COUNTS]
+    review = F.count_if(c("family").isin("rule", "qualitative") & (c("status") == "NEEDS_REVIEW")).alias("needs_review")
+    sums = results.groupBy(key).agg(*counted, review)
+    some = lambda *names: sum((c(n) for n in names), F.lit(0)) > 0
+    attention = some("buffer_shortfalls", "target_shortfalls", "needs_review", "items_missing", "network_attention")
+    figures = c("rules_checked") - c("not_disclosed") - c("candidates") > 0
+    verdict = chain([(some("breaches", "network_breaches"), F.lit("BREACH")), (attention, F.lit("ATTENTION")), (figures, F.lit("PASS"))], F.lit("INSUFFICIENT_DATA"))
+    return sums.withColumn("overall", verdict)

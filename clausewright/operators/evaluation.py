@@ -28,6 +28,26 @@ def label_quality(cases: DataFrame, gold: str, pred: str) -> DataFrame:
     return scored.withColumn("f1", F.when(total > 0, 2 * c("precision") * c("recall") / total).otherwise(0.0))
 
 
+def route_metrics(cases: DataFrame, key: list[str]) -> DataFrame:
+    """A key's figures over its routed cases (gold, pred, route, cited_right): accuracy, with humans taken as right end to end, false
+    positives among the compliant, false negatives among the others that no human saw, shares of escalations and of model calls,
+    and how many of the automatic decisions cite the right clause (1 where there are none)."""
+    right, human = c("gold") == c("pred"), c("route") == "HUMAN"
+    automatic = ~c("route").isin("HUMAN", "NONE")
+    share = lambda hit, of: F.coalesce(F.count_if(of & hit) / F.nullif(F.count_if(of), F.lit(0)), F.lit(0.0))
+    rate = lambda x: F.avg(x.cast("double"))
+    return cases.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"),
+        rate(right).alias("accuracy"),
+        rate(right | human).alias("end_to_end"),
+        share(c("pred") == "NON_COMPLIANT", c("gold") == "COMPLIANT").alias("false_positives"),
+        share((c("pred") != "NON_COMPLIANT") & ~human, c("gold") == "NON_COMPLIANT").alias("false_negatives"),
+        rate(human).alias("escalated"),
+        rate(c("route").isin("RAG_LLM", "LLM_ONLY")).alias("model_calls"),
+        F.coalesce(F.count_if(automatic & c("cited_right")) / F.nullif(F.count_if(automatic), F.lit(0)), F.lit(1.0)).alias("cited"),
+    )
+
+
 def leave_one_out_accuracy(cases: DataFrame, key: list[str], correct: Column) -> DataFrame:
     """Each case with the accuracy of the other cases of its key; 0.5 where there are none."""
     w = Window.partitionBy(*key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,23 +23,23 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", words: Callable[[Column], Column] = terms) -> DataFrame:
     """term, key, tf, length: the inverted index, map-side combined."""
-    words = chunks.select(c(key), terms(c(text)).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    words = chunks.select(c(key), words(c(text)).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
     return words.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, key: str = "chunk_id", question: str = "question_id", text: str = "text") -> DataFrame:
-    """question, key, score for every chunk that shares a term with a question.
+def bm25(chunks: DataFrame, questions: DataFrame, key: str = "chunk_id", question: str = "question_id", text: str = "text", words: Callable[[Column], Column] = terms, weight: Column | None = None) -> DataFrame:
+    """question, key, score for every chunk that shares a term with a question; weight: another one of a term, from N and df.
 
     Only the questions' terms are kept of the index: the questions are the small side, and document
     frequencies come from the same pruned postings.
     """
-    asked = questions.select(question, F.explode(F.array_distinct(terms(c(text)))).alias("term"))
-    sizes = chunks.select(F.size(terms(c(text))).alias("n")).agg(F.count(F.lit(1)).alias("N"), F.avg("n").alias("mean"))
-    index = postings(chunks, key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    asked = questions.select(question, F.explode(F.array_distinct(words(c(text)))).alias("term"))
+    sizes = chunks.select(F.size(words(c(text))).alias("n")).agg(F.count(F.lit(1)).alias("N"), F.avg("n").alias("mean"))
+    index = postings(chunks, key, text, words).join(asked.select("term").distinct(), "term", "left_semi")
     spread = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln(1 + (c("N") - c("df") + 0.5) / (c("df") + 0.5))
+    idf = weight if weight is not None else F.ln(1 + (c("N") - c("df") + 0.5) / (c("df") + 0.5))
     gain = idf * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("length") / c("mean")))
     weighted = index.join(spread, "term").join(F.broadcast(sizes)).select("term", key, gain.alias("gain"))
     return weighted.join(asked, "term").groupBy(question, key).agg(F.sum("gain").alias("score"))

@@ -45,6 +45,21 @@ def route(cases: DataFrame, cost_model: dict, alpha: float, beta: float, gamma:
     return routed.withColumn("decision", decided).withColumn("cost", F.least(*total.values()))
 
 
+def routed_run(cases: DataFrame, cost_model: dict, weights: tuple[float, float, float], min_evidence: float, found: dict[str, Column]) -> DataFrame:
+    """route() carried out: route, decision, reason, usd and seconds of every case, a row of audit each.
+
+    found: what the rule engine and the judge decide, by route; a judge that leaves a case open hands it to a human.
+    """
+    costs = expected_cost(c("prompt_chars"), cost_model)
+    routed = route(cases, cost_model, *weights, min_evidence)
+    read = chain([(c("route") == name, x) for name, x in found.items()], F.lit(None).cast("string"))
+    decided = routed.withColumn("decision", F.coalesce("decision", read, F.lit("REQUIRES_HUMAN_REVIEW")))
+    sure = c("applicable") & (c("evidence") == 1) & ~c("conflict")
+    reason = chain([(c("evidence") == 0, F.lit("no evidence")), (c("evidence") < min_evidence, F.lit("too little evidence")), (sure, F.lit("the rule engine applies"))], F.lit("least expected cost"))
+    spent = lambda i: chain([(c("route") == name, costs[name][i]) for name in ROUTES], F.lit(0.0))
+    return decided.withColumns({"reason": reason, "usd": spent(0), "seconds": spent(1)})
+
+
 def route_static(applicable: Column) -> Column:
     return F.when(applicable, "DETERMINISTIC").otherwise("RAG_LLM")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def write_html(df: DataFrame, path: str, title: str, order: list[str]) -> None:
+    """A report as one page of HTML that needs no other file: a table of the rows, in order. A page is for a bounded report."""
+    safe = lambda x: F.replace(F.replace(F.replace(F.coalesce(x.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cells = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), safe(F.col(f"`{n}`")), F.lit("</td>")) for n in df.columns], F.lit("</tr>"))
+    rows = df.select(F.struct(*order, cells.alias("cells")).alias("row")).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    names = "".join(f"<th>{html.escape(n)}</th>" for n in df.columns)
+    top = f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table>\n<tr>{names}</tr>\n'
+    page = F.concat(F.lit(top), F.array_join(F.transform("rows", lambda r: r["cells"]), "\n"), F.lit("\n</table></body></html>"))
+    rows.select(page.alias("value")).write.mode("overwrite").text(path)
+
+
 def import_bundle(entities: DataFrame, edges: DataFrame, known_types: tuple[str, ...], base: str) -> DataFrame:
     """All or nothing: publishes both tables under a folder if no row has an error; returns the errors (row, message)."""
     entity = F.col("entity_id")
