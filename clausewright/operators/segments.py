@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,8 +25,8 @@ JUMP, AHEAD = 6, 12
 
 def _blocks(rows: list[tuple]) -> Iterator[dict]:
     """The blocks of one document's lines (page, text, x0, size, bold), in order; every line is in one of them."""
-    sizes = pd.Series([r[3] for r in rows])
-    body, margin = sizes.mode().iat[0], min((r[2] for r in rows if r[3] >= sizes.mode().iat[0] - 1.1), default=0.0)
+    body = Counter(r[3] for r in rows).most_common(1)[0][0]
+    margin = min(r[2] for r in rows if r[3] >= body - 1.1)
     numbers = [int(m[1]) if (m := _FLAT.match(r[1])) and not _UNIT.match(m[3]) else None for r in rows]
     block = {"kind": "preamble", "key": "", "page": rows[0][0], "lines": []}
     heading, scope, flat, decimal, style, annex, fresh = "", 0, 0, (), None, False, False
@@ -91,7 +92,9 @@ def segments(lines: DataFrame) -> DataFrame:
 
     def cut(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["page", "line"])
-        rows = list(zip(part["page"], part["text"].fillna("").str.strip(), part["x0"].fillna(0.0), part["size"].fillna(0.0), part["bold"].fillna(False), strict=True))
+        usual = lambda name, pick: part[name].astype(float).fillna(pick(part[name].dropna().astype(float)) if part[name].notna().any() else 0.0)
+        size, x0 = usual("size", lambda known: known.mode().iat[0]), usual("x0", min)
+        rows = list(zip(part["page"], part["text"].fillna("").str.strip(), x0, size, part["bold"].eq(True), strict=True))
         out = [(part["document"].iat[0], i, b["kind"], b["key"], b["heading"], b["page"], b["page_end"], "\n".join(b["lines"])) for i, b in enumerate(_blocks(rows))]
         return pd.DataFrame(out, columns=["document", "place", "kind", "key", "heading", "page", "page_end", "text"])
 
