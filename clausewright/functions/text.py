@@ -94,9 +94,15 @@ def clause_type(x: Column, role: Column) -> Column:
 
 
 def cross_references(x: Column) -> Column:
-    """Paragraphs and annexes that a clause points to."""
+    """Paragraphs, with the last one of a range, annexes and documents that a clause points to."""
     found = lambda kind, p: F.transform(F.regexp_extract_all(x, F.lit(p), F.lit(1)), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target")))
-    return F.concat(found("paragraph", r"(?i)\bparagraphs?\s+([0-9]+(?:\([0-9a-z]+\))*)"), found("annex", r"(?i)\bannex(?:ure)?\s+([0-9IVX]+)"))
+    number = r"[0-9]{1,3}[A-Z]?(?:\.[0-9]{1,3}){0,3}(?:\([0-9a-z]+\))*"
+    return F.concat(
+        found("paragraph", rf"(?i)\bpara(?:graph)?s?\s+({number})"),
+        found("range_end", rf"(?i)\bpara(?:graph)?s?\s+{number}\s*(?:to|and|-|–)\s*({number})"),
+        found("annex", r"(?i)\bannex(?:ure)?[\s\-–]*([IVXLC]+|[0-9]{1,2})\b"),
+        found("document", r"(Reserve Bank of India \((?:[^()]|\([^()]*\))+\) (?:Directions|Guidelines),? [0-9]{4})"),
+    )
 
 
 def content_terms(x: Column) -> Column:

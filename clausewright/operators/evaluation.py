@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 c = F.col
+#: Ranges of costs that a front is found in.
+PARTS = 64
 
 
 def ranking_quality(first_ranks: DataFrame, rank: str = "rank") -> DataFrame:
@@ -48,6 +50,23 @@ def route_metrics(cases: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def simplification_means(rows: DataFrame, key: str) -> DataFrame:
+    """Means of a key's simplified clauses: reading grades where both are known, the share that the guard passed, of those with rules
+    the share whose rules read the same afterwards, and the share of sentences kept verbatim (a ratio of sums).
+
+    rows: grade_before, grade_after, guard, had_rules, same_rules, verbatim, sentences."""
+    both = c("grade_before").isNotNull() & c("grade_after").isNotNull()
+    mean = lambda x: F.avg(F.when(both, x))
+    return rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"),
+        mean(c("grade_before")).alias("grade_before"),
+        mean(c("grade_after")).alias("grade_after"),
+        F.avg(c("guard").cast("double")).alias("guard_pass"),
+        F.avg(F.when(c("had_rules"), c("same_rules").cast("double"))).alias("rule_agreement"),
+        (F.sum("verbatim") / F.greatest(F.sum("sentences"), F.lit(1))).alias("verbatim_share"),
+    )
+
+
 def leave_one_out_accuracy(cases: DataFrame, key: list[str], correct: Column) -> DataFrame:
     """Each case with the accuracy of the other cases of its key; 0.5 where there are none."""
     w = Window.partitionBy(*key)
@@ -80,10 +99,17 @@ def cluster_bootstrap(clusters: DataFrame, value: str, weight: str, resamples: i
 
 
 def pareto_front(points: DataFrame, good: str, cost: str) -> DataFrame:
-    """Points that no other beats on one axis without losing on the other: one sort by cost, no self-join."""
-    cheaper = Window.orderBy(cost).rangeBetween(Window.unboundedPreceding, -1)
-    best = points.groupBy(cost).agg(F.max(good).alias("_best"))
-    front = best.withColumn("_before", F.max("_best").over(cheaper)).where(c("_before").isNull() | (c("_best") > c("_before")))
+    """Points that no other beats on one axis without losing on the other: a sort by cost in each of up to PARTS ranges of costs, with
+    the best of all cheaper ranges carried into it; no self-join and no task that orders all costs."""
+    best = points.where(c(cost).isNotNull()).groupBy(cost).agg(F.max(good).alias("_best"))
+    edges = sorted(set(best.approxQuantile(cost, [i / PARTS for i in range(1, PARTS)], 0.01)))
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < c(cost))) if edges else F.lit(0)
+    ranged = best.withColumn("_part", part)
+    earlier = F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    tops = ranged.groupBy("_part").agg(F.max("_best").alias("_top")).select("_part", earlier.alias("_cheaper"))
+    within = F.max("_best").over(Window.partitionBy("_part").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.greatest("_cheaper", within)
+    front = ranged.join(F.broadcast(tops), "_part").withColumn("_before", before).where(c("_before").isNull() | (c("_best") > c("_before"))).drop("_part", "_cheaper")
     return points.join(front, [cost]).where(c(good) == c("_best")).drop("_best", "_before")
 
 

@@ -45,6 +45,47 @@ def route(cases: DataFrame, cost_model: dict, alpha: float, beta: float, gamma:
     return routed.withColumn("decision", decided).withColumn("cost", F.least(*total.values()))
 
 
+# A contrast with a negation behind it, and words of plans and unfinished work.
+CONTRADICTS = r"(?i)\b(?:however|but|whereas|on the other hand)\b[^.]{0,200}\b(?:not|no|never|failed to|yet to|without|lack(?:s|ing)?)\b"
+UNCERTAIN = r"(?i)\b(?:plans? to|intends? to|proposes? to|in due course|under preparation|draft|partially|started work|expected to be completed|in the process|being considered|awaited|under watch|flagged)\b"
+
+
+def features(cases: DataFrame) -> DataFrame:
+    """The 19 features of a (rule, evidence) pair, added as columns.
+
+    cases: rule_type, reading (it needs interpretation), needed and given (arrays of field names; `narrative` may be needed too),
+    relevance, number_in_text, risk, source_conflict, narrative, history_rule, history_llm (null: unknown). A condition of type C is
+    a needed field; type G needs the network alone. A field that only the text may state counts half.
+    """
+    needed = F.when(c("rule_type") == "G", F.array(F.lit("network_scenario"))).when(c("rule_type") == "C", F.array_union("needed", F.array(F.lit("condition_met")))).otherwise(c("needed"))
+    rows = cases.withColumn("_needed", needed).withColumn("_fields", F.array_remove("_needed", "narrative")).withColumn("_told", F.coalesce(c("narrative") != "", F.lit(False)))
+    relevant = F.coalesce(c("relevance") >= 0.6, F.lit(False))
+    has = lambda k: F.array_contains("given", k)
+    part = lambda k: F.when(k == "narrative", F.when(relevant & c("_told"), 1.0).otherwise(0.0)).when(has(k), 1.0).when(relevant & ((k == "requirement_met") | c("number_in_text")), 0.5).otherwise(0.0)
+    share = F.when(F.size("_fields") > 0, F.size(F.filter("_fields", has)) / F.size("_fields")).otherwise(0.0)
+    whole = F.when(F.size("_needed") > 0, F.aggregate(F.transform("_needed", part), F.lit(0.0), lambda s, x: s + x) / F.size("_needed")).otherwise(0.0)
+    rows = rows.withColumn("structured_field_availability", share)
+    fits = c("rule_type").isin(*DETERMINISTIC_TYPES) | ((c("rule_type") == "B") & F.array_contains("given", F.lit("requirement_met")))
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    risk = chain([(c("risk") == name, F.lit(w)) for name, w in RISK_WEIGHT.items()], F.lit(2)) / 3
+    return rows.withColumns(
+        {
+            **{f"rule_type_{k}": flag(c("rule_type") == k) for k in TYPES},
+            "requires_semantic_interpretation": flag(c("reading")),
+            "retrieval_confidence": F.greatest(F.least(F.coalesce("relevance", F.lit(0.0)), F.lit(1.0)), F.lit(0.0)),
+            "rule_engine_applicability": flag(fits & (F.size("_fields") > 0) & (c("structured_field_availability") == 1)),
+            "evidence_completeness": F.round(whole, 3),
+            "historical_accuracy_deterministic": F.coalesce("history_rule", F.lit(0.5)),
+            "historical_accuracy_rag_llm": F.coalesce("history_llm", F.lit(0.5)),
+            "risk_level": risk,
+            "source_conflict": flag(c("source_conflict")),
+            "narrative_present": flag(c("_told")),
+            "text_structured_conflict": flag((c("structured_field_availability") > 0) & c("narrative").rlike(CONTRADICTS)),
+            "text_uncertainty_cue": flag(c("narrative").rlike(UNCERTAIN)),
+        }
+    ).drop("_needed", "_fields", "_told")
+
+
 def routed_run(cases: DataFrame, cost_model: dict, weights: tuple[float, float, float], min_evidence: float, found: dict[str, Column]) -> DataFrame:
     """route() carried out: route, decision, reason, usd and seconds of every case, a row of audit each.
 

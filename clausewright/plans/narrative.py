@@ -285,3 +285,68 @@ def _(t):
     from ..functions.numbers import severity
 
     return t.sql(_FAMILY_ROWS).where("family = 'network'").groupBy("bank").agg(F.min_by("status", severity(c("status"))).alias("overall"))
+
+
+_SIMPLER = "SELECT case_id, rule_type, CASE WHEN cost % 7 > 0 THEN CAST(cost % 19 AS DOUBLE) END AS grade_before, CASE WHEN cost % 5 > 0 THEN CAST(cost % 13 AS DOUBLE) END AS grade_after, cost % 3 > 0 AS guard, cost % 2 = 0 AS had_rules, cost % 8 > 0 AS same_rules, cost % 4 AS verbatim, cost % 4 + 1 AS sentences FROM {a_cases}"
+
+
+@query("a30_simplification_means", f"""
+SELECT rule_type, count(*) AS n, round(avg(grade_before) FILTER (grade_after IS NOT NULL), 9) AS grade_before, round(avg(grade_after) FILTER (grade_before IS NOT NULL), 9) AS grade_after, round(avg(guard::INT), 9) AS guard_pass,
+       round(avg(same_rules::INT) FILTER (had_rules), 9) AS rule_agreement, round(sum(verbatim) / sum(sentences), 9) AS verbatim_share FROM ({_SIMPLER}) x GROUP BY rule_type""")
+def _(t):
+    found = E.simplification_means(t.sql(_SIMPLER), "rule_type")
+    return found.select("rule_type", "n", *[F.round(x, 9).alias(x) for x in found.columns[2:]])
+
+
+_EVIDENCE = [
+    (1, "A", False, ["crar"], ["crar"], 0.9, True, "high", False, "However, the ratio was not met."),
+    (2, "C", True, ["crar"], ["crar"], 0.7, True, "low", True, "A plan, in due course."),
+    (3, "G", False, ["crar"], ["crar"], 1.4, False, None, False, ""),
+    (4, "B", False, ["requirement_met", "narrative"], [], 0.6, False, "medium", False, "Done."),
+    (5, "E", True, ["narrative"], [], None, None, "medium", None, None),
+]
+
+
+@query("m01_feature_vector", """SELECT id, type_a, reading, structured, confidence, engine, completeness, risk, narrative, contradicted, uncertain FROM (VALUES (1, 1::DOUBLE, 0::DOUBLE, 1::DOUBLE, 0.9::DOUBLE, 1::DOUBLE, 1::DOUBLE, 3::DOUBLE, 1::DOUBLE, 1::DOUBLE, 0::DOUBLE),
+(2, 0, 1, 0.5, 0.7, 0, 0.75, 1, 1, 0, 1), (3, 0, 0, 0, 1, 0, 0, 2, 0, 0, 0), (4, 0, 0, 0, 0.6, 0, 0.75, 2, 1, 0, 0), (5, 0, 1, 0, 0, 0, 0, 2, 0, 0, 0)) v(id, type_a, reading, structured, confidence, engine, completeness, risk, narrative, contradicted, uncertain)""")
+def _(t):
+    rows = t.spark.createDataFrame(_EVIDENCE, "id int, rule_type string, reading boolean, needed array<string>, given array<string>, relevance double, number_in_text boolean, risk string, source_conflict boolean, narrative string")
+    f = M.features(rows.withColumns({"history_rule": F.lit(0.9), "history_llm": F.lit(None).cast("double"), "number_in_text": F.coalesce("number_in_text", F.lit(False))}))
+    names = {"type_a": "rule_type_A", "reading": "requires_semantic_interpretation", "structured": "structured_field_availability", "confidence": "retrieval_confidence", "engine": "rule_engine_applicability", "completeness": "evidence_completeness", "narrative": "narrative_present", "contradicted": "text_structured_conflict", "uncertain": "text_uncertainty_cue"}
+    return f.select("id", *[c(x).alias(name) for name, x in names.items()], F.round(c("risk_level") * 3, 6).alias("risk"))
+
+
+@query("c13_ranges_and_documents", "SELECT kind, target FROM (VALUES ('paragraph', '12'), ('range_end', '15'), ('paragraph', '3.1(a)'), ('annex', 'IV'), ('document', 'Reserve Bank of India (Commercial Banks (SCBs) – Risk) Directions, 2025')) v(kind, target)")
+def _(t):
+    from ..functions.text import cross_references
+
+    said = t.spark.createDataFrame([("See paragraphs 12 to 15 and para 3.1(a) of Annex-IV of the Reserve Bank of India (Commercial Banks (SCBs) – Risk) Directions, 2025.",)], "text string")
+    return said.select(F.inline(cross_references(c("text"))))
+
+
+_DOC_FAMILIES = "SELECT doc_id, concat('topic ', CAST(topic AS STRING)) AS topic, doc_id % 3 AS f1, CASE WHEN doc_id % 4 = 0 THEN 3 END AS f2 FROM {a_documents}"
+
+
+@query("a05_topic_families", f"""
+SELECT family, CAST(sum(n) AS BIGINT) AS docs, string_agg(topic || ': ' || n, ', ' ORDER BY n DESC, topic) AS subtopics FROM (
+  SELECT family, topic, count(*) AS n FROM (SELECT f1 AS family, topic FROM ({_DOC_FAMILIES}) a UNION ALL SELECT f2, topic FROM ({_DOC_FAMILIES}) b WHERE f2 IS NOT NULL) r GROUP BY family, topic) s GROUP BY family""")
+def _(t):
+    rows = t.sql(_DOC_FAMILIES).select("doc_id", "topic", F.explode(F.array_compact(F.array("f1", "f2"))).alias("family"))
+    counts = rows.groupBy("family", "topic").agg(F.count(F.lit(1)).alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct((-c("n")).alias("down"), "topic", "n")))
+    said = F.array_join(F.transform(listed, lambda x: F.concat(x["topic"], F.lit(": "), x["n"].cast("string"))), ", ")
+    return counts.groupBy("family").agg(F.sum("n").alias("docs"), said.alias("subtopics"))
+
+
+@query("w02_best_chunk_then_cap", "SELECT chunk, clause, doc FROM (SELECT vec_id AS chunk, vec_id // 3 AS clause, vec_id // 24 AS doc, label AS score FROM {embeddings} QUALIFY row_number() OVER (PARTITION BY vec_id // 3 ORDER BY label DESC, vec_id) = 1) x QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, chunk) <= 3")
+def _(t):
+    chunks = t.embeddings.select(c("vec_id").alias("chunk"), F.floor(c("vec_id") / 3).alias("clause"), F.floor(c("vec_id") / 24).alias("doc"), c("label").alias("score"))
+    best = chunks.groupBy("clause", "doc").agg(F.max_by(F.struct("chunk", "score"), F.struct("score", -c("chunk"))).alias("b")).select("clause", "doc", "b.*")
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(c("score").desc(), "chunk"))
+    return best.withColumn("rank", rank).where("rank <= 3").select("chunk", "clause", "doc")
+
+
+@query("a20_paired_difference", "SELECT round(sum((gold = pred OR route = 'HUMAN')::INT - (gold = pred)::INT) / count(*), 9) AS difference FROM {a_cases}")
+def _(t):
+    ok, better = c("gold") == c("pred"), (c("gold") == c("pred")) | (c("route") == "HUMAN")
+    return t.a_cases.agg(F.round(F.sum(better.cast("int") - ok.cast("int")) / F.count(F.lit(1)), 9).alias("difference"))

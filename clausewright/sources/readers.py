@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +57,45 @@ def csv_rows(spark: SparkSession, path: str) -> DataFrame:
 def json_fixture(spark: SparkSession, path: str, rows: str) -> DataFrame:
     """The rows of a JSON file that holds them as an array under a name."""
     return spark.read.option("multiLine", True).json(path).select(F.explode(rows).alias("row")).select("row.*")
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _sheets(content: bytes) -> Iterator[tuple[int, str, int, str]]:
+    """page, sheet, line_no, line of a workbook: its sheets in order, the filled cells of a row joined by bars."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        tree = lambda name: ElementTree.fromstring(book.read(name))
+        said = lambda node: "".join(t.text or "" for t in node.iter(f"{_SHEET}t"))
+        shared = [said(x) for x in tree("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in book.namelist() else []
+        parts = {x.get("Id"): x.get("Target") for x in tree("xl/_rels/workbook.xml.rels")}
+        for page, sheet in enumerate(tree("xl/workbook.xml").iter(f"{_SHEET}sheet"), 1):
+            target = parts[sheet.get(_LINK)]
+            rows = tree(target.lstrip("/") if target.startswith("/") else f"xl/{target}").iter(f"{_SHEET}row")
+            for number, row in enumerate(rows, 1):
+                cells = []
+                for cell in row.iter(f"{_SHEET}c"):
+                    value = cell.findtext(f"{_SHEET}v") or ""
+                    kind = cell.get("t")
+                    text = shared[int(value)] if kind == "s" and value else said(cell) if kind == "inlineStr" else {"0": "false", "1": "true"}.get(value, value) if kind == "b" else value
+                    cells.append(re.sub(r"\s+", " ", text).strip())
+                if any(cells):
+                    yield page, sheet.get("name"), int(row.get("r") or number), " | ".join(x for x in cells if x)
+
+
+def workbook_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, page, sheet, line_no, line, error of workbooks under a folder; one that can't be read is a row with the error. A
+    workbook is one row of Spark's and is parsed where it is read."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["file", "page", "sheet", "line_no", "line", "error"]
+        for batch in batches:
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    yield pd.DataFrame([(file, *row, None) for row in _sheets(content)], columns=names)
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as e:
+                    yield pd.DataFrame([(file, None, None, None, None, f"unreadable workbook: {type(e).__name__}")], columns=names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xls[xm]").load(path)
+    return files.select("path", "content").mapInPandas(parse, "file string, page int, sheet string, line_no int, line string, error string")

@@ -2,6 +2,7 @@
 
 import math
 import re
+import zipfile
 from collections import Counter
 
 import pytest
@@ -12,7 +13,7 @@ from clausewright.functions import plainer as P
 from clausewright.operators import answering as A
 from clausewright.operators import passages as X
 from clausewright.operators import segments as S
-from clausewright.sources import sinks
+from clausewright.sources import readers, sinks
 
 STEMS = "caresses caress, ponies poni, cats cat, feed feed, agreed agre, plastered plaster, motoring motor, sing sing, conflated conflat, troubled troubl, sized size, hopping hop, falling fall, hissing hiss, failing fail, filing file, happy happi, sky sky, relational relat, conditional condit, rational ration, digitizer digit, operator oper, feudalism feudal, decisiveness decis, hopefulness hope, triplicate triplic, formative form, electrical electr, goodness good, revival reviv, allowance allow, inference infer, adjustment adjust, adoption adopt, probate probat, rate rate, cease ceas, controlling control, rolling roll, is is, 9th 9th, ties ti"
 
@@ -62,3 +63,22 @@ def test_nothing_and_nulls(spark):
 def test_days(spark):
     rows = spark.createDataFrame([("31st March, 2025",), ("Mar 31, 2025",), ("31/03/2025",), ("31 Foo 2025",), ("99.99.2025",), (None,)], "x string")
     assert [str(r[0]) for r in rows.select(N.written_day(F.col("x"))).collect()] == ["2025-03-31"] * 3 + ["None"] * 3
+
+
+def test_workbooks(spark, tmp_path):
+    space, link = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda rows: f'<worksheet xmlns="{space}"><sheetData>{rows}</sheetData></worksheet>'
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{space}" xmlns:r="{link}"><sheets><sheet name="Ratios" r:id="a"/><sheet name="Notes" r:id="b"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="x"><Relationship Id="a" Target="worksheets/s2.xml"/><Relationship Id="b" Target="/xl/worksheets/s1.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{space}"><si><t>CRAR</t></si><si><r><t>two </t></r><r><t> runs</t></r></si></sst>',
+        "xl/worksheets/s2.xml": sheet('<row r="1"><c t="s"><v>0</v></c><c/><c><v>14.25</v></c></row><row r="2"><c/></row><row r="5"><c t="b"><v>1</v></c></row>'),
+        "xl/worksheets/s1.xml": sheet('<row><c t="s"><v>1</v></c><c t="inlineStr"><is><t>in line</t></is></c></row>'),
+    }
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    (tmp_path / "b.xlsx").write_bytes(b"PK no workbook")
+    got = readers.workbook_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.page, r.sheet, r.line_no, r.line) for r in got if r.error is None) == [(1, "Ratios", 1, "CRAR | 14.25"), (1, "Ratios", 5, "true"), (2, "Notes", 1, "two runs | in line")]
+    assert [r.error for r in got if r.error] == ["unreadable workbook: BadZipFile"]
