@@ -51,15 +51,28 @@ def version_in_force(facts: DataFrame, versions: DataFrame, key: str, on: str, e
     return found.select(*facts.columns, F.col("_version.effective").alias(effective), F.col("_version.value").alias(value))
 
 
+def _deviation(values: Column) -> Column:
+    """The population deviation of an array by Welford's updates in its order, rounded as in DuckDB's stddev_pop; Spark's
+    takes each update's second factor as delta - delta / n, which ends in other bits. Null if the array is empty."""
+
+    def update(state: Column, x: Column) -> Column:
+        n = state["n"] + 1
+        mean = state["mean"] + (x - state["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (state["squares"] + (x - mean) * (x - state["mean"])).alias("squares"))
+
+    start = F.struct(*[F.lit(0.0).alias(name) for name in ("n", "mean", "squares")])
+    return F.aggregate(values.cast("array<double>"), start, update, lambda s: F.when(s["n"] > 0, F.sqrt(s["squares"] / s["n"])))
+
+
 def trend_anomalies(history: DataFrame, keys: list[str], order: list[Column], value: str, window: int = 8) -> DataFrame:
     """Each value against the (population) mean and deviation of up to `window` earlier ones of its key.
 
     Fewer than two earlier values say nothing. A flat history flags any change; else a distance of more than
-    three deviations is flagged.
+    three deviations is flagged. Where it is just three, the last bit decides: see _deviation.
     """
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-window, -1)
     x = F.col(value)
-    scored = history.select("*", F.count(value).over(before).alias("n"), F.avg(value).over(before).alias("mean"), F.stddev_pop(value).over(before).alias("deviation"))
+    scored = history.select("*", F.count(value).over(before).alias("n"), F.avg(value).over(before).alias("mean"), _deviation(F.collect_list(value).over(before)).alias("deviation"))
     flag = F.when(F.col("n") < 2, "none").when(F.col("deviation") == 0, F.when(x != F.col("mean"), "first_change").otherwise("none"))
     return scored.withColumn("flag", flag.when(F.abs((x - F.col("mean")) / F.col("deviation")) > 3, "jump").otherwise("none"))
 

@@ -67,6 +67,16 @@ def test_trend_anomaly(spark):
     assert flags[1, 3] == "first_change" and flags[2, 3] == "jump" and flags[3, 1] == "none" and flags[1, 2] == "none"
 
 
+def test_trend_anomaly_at_just_three_deviations(spark, tmp_path):
+    made = "SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, i // 3 AS user_id, 'r' AS event_type, (i // 3 // [400, 20, 1][1 + i % 3] % 20) / 10 AS value FROM range(24000) t(i)"
+    duckdb.execute(f"COPY ({made}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    wanted = con.execute(f"SELECT event_id, n, flag FROM ({plans.ORACLES['a14_trend_anomaly']}) x").fetchall()
+    found = plans.QUERIES["a14_trend_anomaly"](spark, str(tmp_path)).select("event_id", "n", "flag").collect()
+    assert sorted(map(tuple, found)) == sorted(wanted)
+
+
 def test_version_in_force(spark):
     facts = spark.createDataFrame([("a", d) for d in ("2020-01-01", "2020-02-01", "2020-03-01")], "rule string, day string")
     versions = spark.createDataFrame([("a", "2020-02-01", 1.0), ("a", "2020-02-15", 2.0)], "rule string, since string, v double")
