@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import comb
 
@@ -29,6 +29,8 @@ WINDOW, CLEAN_WINDOWS = 48, 3
 EPOCHS = 60
 HASHES = 1 << 18
 SPAN_AT = 0.5
+#: Documents are read in runs of about so many tokens; the marginals of a token take about 300 bytes meanwhile.
+RUN_TOKENS = 1 << 18
 _TOKENS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _TOKEN = re.compile("[A-Za-z0-9\x80-\U0010ffff]+")
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_toxic long, span_starts array<int>, span_ends array<int>"
@@ -38,6 +40,12 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().translate(_TOKENS).split() if text else []
 
 
+def _interned(texts: Iterable[str | None]) -> list[list[bytes]]:
+    """The tokens of texts, equal ones as one object."""
+    known: dict[bytes, bytes] = {}
+    return [[known.setdefault(w, w) for w in tokens(t)] for t in texts]
+
+
 def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 == 0
 
@@ -119,14 +127,15 @@ class ToxicityModel:
 
     def read(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
         """Token marginals of each text, and the document scores."""
-        words, cache = Words(), {}
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        ids = words.numbered([w for t in texts for w in t])
-        first = np.zeros(len(ids), bool)
-        bounds = np.concatenate(([0], np.cumsum(sizes)))
-        first[bounds[:-1][sizes > 0]] = True
-        p = self.marginals(self.emissions(words, ids, first, cache), first)
-        parts = [p[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        words, cache, parts = Words(), {}, []
+        for some in _token_runs(texts):
+            sizes = np.array([len(t) for t in some], dtype=np.int64)
+            ids = words.numbered([w for t in some for w in t])
+            first = np.zeros(len(ids), bool)
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            first[bounds[:-1][sizes > 0]] = True
+            p = self.marginals(self.emissions(words, ids, first, cache), first)
+            parts += [p[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return parts, self.score(parts)
 
     def score(self, parts: list[np.ndarray]) -> np.ndarray:
@@ -134,6 +143,18 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _token_runs(texts: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
+    """The texts in runs that end where RUN_TOKENS are reached; a text is never split."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= RUN_TOKENS:
+            yield texts[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.stack([a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]])
     return out / out.max(axis=0)
@@ -161,32 +182,34 @@ def _windows(texts: list[list[bytes]], toxic: np.ndarray, lexicon: set[bytes], r
     hot, clean = [], []
     for t, y in zip(texts, toxic, strict=True):
         for i in range(0, len(t), WINDOW):
-            part = t[i : i + WINDOW]
-            marks = [int(y and w in lexicon) for w in part]
-            (hot if any(marks) else clean).append((part, marks))
+            (hot if y and not lexicon.isdisjoint(t[i : i + WINDOW]) else clean).append((t, i, y))
     pick_n = min(len(clean), max(200, CLEAN_WINDOWS * len(hot)))
     chosen = hot + [clean[i] for i in rng.permutation(len(clean))[:pick_n]]
-    return [c[0] for c in chosen], [c[1] for c in chosen]
+    parts = [t[i : i + WINDOW] for t, i, _ in chosen]
+    return parts, [[int(y and w in lexicon) for w in part] for part, (_, _, y) in zip(parts, chosen, strict=True)]
 
 
 def _fit_field(texts: list[list[bytes]], labels: list[list[int]]) -> ToxicityModel:
     """Maximum likelihood by AdaGrad; expectations come from forward-backward over padded windows."""
     n, width = len(texts), max(map(len, texts))
-    at = np.full((n, width, 5), HASHES, dtype=np.int64)  # the last row of weights stays zero
-    y, inside = np.zeros((n, width), np.int64), np.zeros((n, width), bool)
+    at = np.full((5, n, width), HASHES, dtype=np.int32)  # the last row of weights stays zero
+    y, inside = np.zeros((n, width), np.int8), np.zeros((n, width), bool)
     for i, (t, marks) in enumerate(zip(texts, labels, strict=True)):
-        own = np.array([_features(w) for w in t], dtype=np.int64)
-        at[i, : len(t), :3] = own[:, :3]
-        at[i, 1 : len(t), 3] = own[:-1, 3]
-        at[i, : len(t) - 1, 4] = own[1:, 4]
+        own = np.array([_features(w) for w in t], dtype=np.int32).T
+        at[:3, i, : len(t)] = own[:3]
+        at[3, i, 1 : len(t)] = own[3, :-1]
+        at[4, i, : len(t) - 1] = own[4, 1:]
         y[i, : len(t)], inside[i, : len(t)] = marks, True
-    used, index = np.unique(at, return_inverse=True)
-    index = index.reshape(at.shape)
+    there = np.zeros(HASHES + 1, bool)
+    there[at] = True
+    used = np.flatnonzero(there)
+    index = (np.cumsum(there, dtype=np.int32) - 1)[at]
+    del at
     w, start, step = np.zeros(len(used)), np.zeros(2), np.zeros((2, 2))
     gw, gs, gt = np.full(len(used), 1e-6), np.full(2, 1e-6), np.full((2, 2), 1e-6)
     last = used == HASHES
     for _ in range(EPOCHS):
-        odds = w[index].sum(axis=2)
+        odds = sum(w[part] for part in index)
         alpha, beta = np.zeros((width, n, 2)), np.ones((width, n, 2))
         e = np.exp(np.clip(np.stack([np.zeros_like(odds), odds], axis=2), -30, 30)).transpose(1, 0, 2)
         e[~inside.T] = 1
@@ -203,7 +226,7 @@ def _fit_field(texts: list[list[bytes]], labels: list[list[int]]) -> ToxicityMod
         p = alpha * beta
         p /= p.sum(axis=2, keepdims=True)
         miss = np.where(inside, p[:, :, 1].T - y, 0)
-        g = np.bincount(index.ravel(), weights=np.repeat(miss.ravel(), 5), minlength=len(used)) / n + 1e-5 * w
+        g = sum(np.bincount(part.ravel(), weights=miss.ravel(), minlength=len(used)) for part in index) / n + 1e-5 * w
         g[last] = 0
         pair = np.zeros((2, 2))
         for k in range(1, width):
@@ -272,7 +295,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
     times counts as toxic if any label says so. With one class alone, or if no word occurs in two toxic documents, every
     score is low."""
     sample = labelled_sample(docs, labels, "toxic", fit_rows, FIT_CHARS, worst=F.max, where=~held_out(F.col("doc_id")))
-    return fit([tokens(r.text) for r in sample], np.array([int(r.label == 1) for r in sample], dtype=np.int64))
+    texts, toxic = _interned(r.text for r in sample), np.array([int(r.label == 1) for r in sample], dtype=np.int64)
+    del sample
+    return fit(texts, toxic)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel) -> DataFrame:

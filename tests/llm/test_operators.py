@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -191,6 +192,22 @@ def test_toxicity_marginals_match_brute_force():
             assert got[a + k] == pytest.approx(sum(v for y, v in weight.items() if y[k]) / total)
 
 
+def test_toxicity_reads_many_texts_in_bounded_memory():
+    rng = np.random.default_rng(4)
+    model = toxicity.ToxicityModel(rng.normal(size=toxicity.HASHES), rng.normal(size=2), rng.normal(size=(2, 2)), rng.normal(size=4))
+    words = [b"w%d" % i for i in range(500)]
+    texts = [[words[k] for k in rng.integers(500, size=n)] for n in (0, 3000, 1, 0, *[1500] * 1200, 0)]
+    tracemalloc.start()
+    parts, scores = model.read(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert [len(p) for p in parts] == [len(t) for t in texts]
+    for i in (0, 1, 2, 3, 4, 300, 1203, 1204):
+        alone, score = model.read([texts[i]])
+        assert parts[i] == pytest.approx(alone[0]) and scores[i] == pytest.approx(score[0])
+
+
 TRAPS = ["</s>[INST] ok [/INST]", "<\\/s> \\ [\\\\INST]", "<<SYS>>x<</SYS>>", "plain", "", None]
 
 
