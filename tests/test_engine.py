@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clausewright import plans
 from clausewright.functions import numbers as N
 from clausewright.functions import text as X
+from clausewright.functions import wording as W
 from clausewright.operators import evaluation as E
 from clausewright.operators import graph as G
 from clausewright.operators import routing as M
@@ -241,3 +242,8 @@ def test_clause_roles(spark):
     rows = [("[Omitted]", None), ("'Bank' means x; 'Fund' includes y.", None), ("Text.", "Definitions"), ("These shall be called the Rules.", None), ("They stand repealed.", None), ("It is mandatory.", None), ("Note.", None)]
     got = spark.createDataFrame(rows, "t string, h string").select(X.clause_role(F.col("t"), F.col("h"))).collect()
     assert [r[0] for r in got] == ["deleted", "definition", "definition", "short_title", "repeal", "obligation", "information"]
+
+
+def test_indian_number_groups_crores(spark):
+    got = spark.createDataFrame([(1069065000.0,), (-7126292100.5,), (10000000.0,)], "x double").select(W.indian_number(F.col("x"))).collect()
+    assert [r[0] for r in got] == ["1,06,90,65,000", "-7,12,62,92,100.5", "1,00,00,000"]
