@@ -9,7 +9,6 @@ from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, pick, runs
+from .common import TEXTS, kept, materialize, pick, runs, trim
 
 CAPACITY = 4096
 END_ID = 1
@@ -107,10 +106,9 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder, with what it has looked up, for all tasks of a worker."""
-    return WordEncoder(path)
+    """One encoder, with what it has looked up, for all tasks of a worker that follow each other."""
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -334,10 +332,11 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = C
     A null or empty text is the end id alone. Repeated rows are packed each. An empty table gives an empty
     result. Other columns are ignored.
     """
-    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer, capacity, end_id), "pieces", TEXTS)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(plan(histogram, capacity)[0]))
-    groups = spark.createDataFrame([(x, -(-n // GROUP_ROWS)) for x, n in sorted(histogram.items())], "length int, groups long")
+    many = [(x, -(-n // GROUP_ROWS)) for x, n in sorted(histogram.items())]  # as an Arrow table: rows would take Python workers of their own
+    groups = spark.createDataFrame(pa.table({"length": pa.array([x for x, _ in many], pa.int32()), "groups": pa.array([g for _, g in many], pa.int64())}))
     # The pieces lie in a table, so a row has the same number each time it is read; equal rows have different ones.
     rows = pieces.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(groups), "length")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("groups"))).drop("groups")
@@ -349,6 +348,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = C
     ranked = ranked.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("first") + F.col("rank") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         key, first, sequence, times, offset = places.value
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))

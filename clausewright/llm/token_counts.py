@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, runs
+from .common import kept, pick, runs
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_shared long"
 
@@ -124,10 +123,9 @@ class SpanEncoder:
         return at + np.frombuffer(b"".join([s for s, _, _ in found]), np.intc), at + np.frombuffer(b"".join([e for _, e, _ in found]), np.intc)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> SpanEncoder:
-    """One encoder, with what it has looked up, for all tasks of a worker."""
-    return SpanEncoder(path)
+    """One encoder, with what it has looked up, for all tasks of a worker that follow each other."""
+    return kept(("spans", path), lambda: SpanEncoder(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, sections=line_sections) -> DataFrame:
