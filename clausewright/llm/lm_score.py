@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, runs
+from .common import materialize, pick, runs, trim
 
 #: The factor of a step back to the shorter context.
 BACKOFF = 0.4
@@ -22,6 +22,8 @@ BLOCK_BYTES = 4 << 20
 #: Different n-grams that one bucket of the count tables gets from all blocks, at most and about.
 BUCKET_GRAMS = 1 << 20
 LEAST_BUCKET_BITS = 10
+#: Rows of n-grams that a task's Python gets at once: Spark's 10,000 are some 45 MB in the JVM and in Python.
+WIDE = 1024
 
 # Words are hashed by a polynomial over random numbers for their bytes, modulo 2^64, so that the hashes of all words of
 # a text come from one running sum. A-Z have the numbers of a-z.
@@ -110,22 +112,25 @@ def _edges(ordered: np.ndarray) -> np.ndarray:
 
 
 class _Grams:
-    """The n-grams of a block of documents, up to an order, by the order.
+    """The n-grams of a block of documents, of some orders, by the order.
 
     doc: the document of each word. at: the place of each n-gram's last word; key: its hash.
     """
 
-    def __init__(self, ends: pa.ListScalar, data: pa.BinaryScalar, order: int = ORDER):
+    def __init__(self, ends: pa.ListScalar, data: pa.BinaryScalar, least: int = 1, order: int = ORDER):
         ends = ends.values.to_numpy()
         start, key = word_hashes(pa.decompress(data.as_buffer(), int(ends[-1]) - 1, "zstd", asbytes=True))
         self.words = np.diff(np.searchsorted(start, ends), prepend=0)
         self.doc = np.repeat(np.arange(len(ends)), self.words)
-        self.at, self.key = {1: np.arange(len(key))}, {1: key}
+        self.at, self.key = {}, {}
+        if least == 1:
+            self.at[1], self.key[1] = np.arange(len(key)), key
         word = key
         for n in range(2, order + 1):
             key = key[:-1] * np.uint64(_STEP + 2 * n) + word[n - 1 :]
-            whole = self.doc[n - 1 :] == self.doc[: max(0, len(self.doc) - n + 1)]
-            self.at[n], self.key[n] = np.flatnonzero(whole) + n - 1, key[whole]
+            if n >= least:
+                whole = self.doc[n - 1 :] == self.doc[: max(0, len(self.doc) - n + 1)]
+                self.at[n], self.key[n] = np.flatnonzero(whole) + n - 1, key[whole]
 
     def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The different keys of an order, sorted, and their counts."""
@@ -135,9 +140,12 @@ class _Grams:
 
     def elsewhere(self, n: int, others: np.ndarray) -> np.ndarray:
         """For each place, how often the n-gram that ends there occurs in other documents than its own; 0 where none
-        ends. others: how often each different n-gram occurs outside of this block."""
-        order = _sorted_places(self.key[n])
-        ordered, doc = self.key[n][order], self.doc[self.at[n][order]]
+        ends. others: how often each different n-gram occurs outside of this block. The order's n-grams are given up."""
+        key, at = self.key.pop(n), self.at.pop(n)
+        order = _sorted_places(key)
+        ordered, at = key[order], at[order]
+        del key, order
+        doc = self.doc[at]
         new = np.ones(len(doc), bool)
         np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
         both = new.copy()
@@ -146,7 +154,7 @@ class _Grams:
         times = np.diff(np.append(begin, len(doc)))
         whole = (others + np.diff(np.append(first, len(doc))))[np.cumsum(new[begin]) - 1]  # a count for each (key, document)
         found = np.zeros(len(self.doc), np.int64)
-        found[self.at[n][order]] = np.repeat(whole - times, times)
+        found[at] = np.repeat(whole - times, times)
         return found
 
 
@@ -182,9 +190,10 @@ def _request(n: int, bits: int):
     """A mapInArrow function: a block's different n-grams with their counts, a row for each bucket of hashes."""
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             for block, ends, data in zip(*(batch.column(c) for c in ("block", "ends", "data")), strict=True):
-                key, times = _Grams(ends, data, n).distinct(n)
+                key, times = _Grams(ends, data, n, n).distinct(n)
                 bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
                 edge = _edges(bucket)
                 # Bytes of like weight of the steps from key to key lie side by side: they are small on disk.
@@ -207,6 +216,7 @@ def _keys(grams: pa.BinaryScalar) -> np.ndarray:
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, names: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows (names) by key, of batches that are sorted by it; one key's rows are held at a time."""
+    trim()
     now, held = None, []
     for batch in batches:
         for k, *row in zip(batch.column(key).to_pylist(), *(batch.column(n) for n in names), strict=True):
@@ -279,7 +289,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, backoff: float = BACKO
     for n in range(1, ORDER + 1):  # one after the other, so that only one order's n-grams are on disk at a time
         asked = blocks.select("block", "ends", "data").mapInArrow(_request(n, bits), _REQUESTS)
         counted = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer(n), _ANSWERS)
-        rows = rows.unionByName(materialize(counted, "lm_counts"), allowMissingColumns=True)
+        rows = rows.unionByName(materialize(counted, "lm_counts", WIDE), allowMissingColumns=True)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _groups(batches, "block", ("n", "doc_ids", "ends", "data")):
